@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cueloom.llm import chat, exact_dedup, mixing, simhash, url_filter
+from cueloom.llm import bpe, chat, exact_dedup, mixing, secret_scan, simhash, telephony, url_filter
 from cueloom.llm.common import LOWER, UPPER, table
 
+def vocabulary() -> str:
+    """The vocabulary file of op4: CUELOOM_VOCABULARY, or the word_bpe_49k.json of the installed public_tokenizers."""
+    if path := os.environ.get("CUELOOM_VOCABULARY"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 RULES = [
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
@@ -30,6 +40,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), ids=False)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,12 +65,23 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.summarise(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_telephony": op10_telephony,
 }
 
 ORACLES: dict[str, str] = {
