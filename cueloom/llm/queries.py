@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cueloom.llm import bpe, chat, exact_dedup, mixing, secret_scan, simhash, telephony, toxicity, url_filter
+from cueloom.llm import bpe, chat, exact_dedup, mixing, pii, secret_scan, simhash, telephony, toxicity, url_filter
 from cueloom.llm.common import LOWER, UPPER, table
 
 def vocabulary() -> str:
@@ -50,6 +50,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), ids=False)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
