@@ -8,8 +8,6 @@ read in place from one memory-mapped file; a batch of words is looked up a byte
 
 from __future__ import annotations
 
-import contextlib
-import hashlib
 import os
 import tempfile
 from collections.abc import Iterable
@@ -124,16 +122,14 @@ class Lexicon:
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> Lexicon:
-        """Maps a file of these bytes in this process's temporary folder; one is shared by all processes there."""
-        path = os.path.join(tempfile.gettempdir(), f"cueloom-lexicon-{hashlib.sha256(blob).hexdigest()[:24]}")
-        if not os.path.exists(path) or os.path.getsize(path) != len(blob):
-            handle, part = tempfile.mkstemp(dir=tempfile.gettempdir())
+        """Maps a file of these bytes, which has no name any more: it goes with the process."""
+        handle, path = tempfile.mkstemp(prefix="cueloom-lexicon-")
+        try:
             with os.fdopen(handle, "wb") as out:
                 out.write(blob)
-            os.replace(part, path)
-        with contextlib.suppress(OSError):
             return cls(path)
-        return cls.from_bytes(blob)
+        finally:
+            os.unlink(path)
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The number of each word data[start:start+length], or -1."""
