@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from cueloom.llm.common import materialize
 from cueloom.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words of the lexicon, and counters that a task keeps while it counts (a word with over 1/COUNTERS of a task's words is never missed).
@@ -343,8 +344,13 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(vocabulary: Vocabulary, docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the ``words`` most frequent words of all texts (that many rows reach the driver)."""
-    top = word_counts(docs, text).orderBy(F.col("n").desc(), F.col("word")).limit(words).collect()
+    """The compiled lexicon of the ``words`` most frequent words of all texts.
+
+    Only words with over 1 / (4 * words) of all counts are gathered, so at most 4 * words rows leave all tasks together.
+    """
+    counts = materialize(word_counts(docs, text))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where(F.col("n") * (4 * words) > total).orderBy(F.col("n").desc(), F.col("word")).limit(words).collect()
     return compile_lexicon({w: vocabulary.merge_one(w) for w in (bytes(r["word"]) for r in top)})
 
 
