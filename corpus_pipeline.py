@@ -5,29 +5,55 @@ Each stage works on the rows that its predecessor kept; all but the last return
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import exact_dedup, mixing
+from cueloom.llm import bpe, exact_dedup, mixing, near_dedup, queries, toxicity
+
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of THRESHOLD or more go; the model is fitted on the labelled rows of ``docs``."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest identifier."""
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.near_dedup(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mix)]
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, and digests of them and of the decoded text."""
+    return bpe.encode(docs, queries.vocabulary())
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing to target weights", mix),
+    ("BPE encoding", tokenise),
+]
 #: SQL expresses neither the learned filter nor the fuzzy hashing nor the encoder; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, in order."""
+    """All stages over ``documents``, in order; each is written as Parquet to the checkpoint folder and read again."""
+    place = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='cueloom-')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
+        docs = spark.read.parquet(f"{place}/{k}")
     return docs
