@@ -1,6 +1,583 @@
-"""All registered queries of the timed-text engine and their DuckDB counterparts."""
+"""All registered queries of the timed-text engine and the DuckDB SQL that each must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from cueloom.functions import text as X, timing
+from cueloom.operators import findings as FI, glossary as G, layers as L, review as R, segment as S, terms as T
+from cueloom.plans import views as V
+from cueloom.sources import captions, writers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: DuckDB: the cue view of plans/views.py, and what is derived from it.
+CUE = """
+lines AS (SELECT doc_id AS track_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS text,
+                 generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''), 1) AS cue FROM documents),
+timed AS (SELECT *, 400 + 60 * length(text) AS dur,
+                 coalesce(sum(400 + 60 * length(text)) OVER (PARTITION BY track_id ORDER BY cue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM lines),
+cue AS (SELECT track_id, cue, CAST(base - CASE WHEN cue % 7 = 0 THEN 500 ELSE 0 END AS BIGINT) AS start_ms, CAST(base + dur AS BIGINT) AS end_ms, text FROM timed)"""
+OTHER = """,
+lasts AS (SELECT *, max(cue) OVER (PARTITION BY track_id) AS last FROM cue),
+other AS (SELECT track_id, cue, start_ms + CASE WHEN cue % 11 = 0 THEN 3 ELSE 0 END AS start_ms, end_ms,
+                 CASE WHEN cue % 2 = 0 THEN regexp_replace(text, '[0-9]', '', 'g') ELSE text END AS text
+          FROM lasts WHERE track_id % 50 <> 0 OR cue < last OR last = 1),
+sizes AS (SELECT coalesce(a.track_id, b.track_id) AS track_id, count(a.cue) AS a_cues, count(b.cue) AS b_cues
+          FROM cue a FULL JOIN other b ON a.track_id = b.track_id AND a.cue = b.cue GROUP BY 1),
+pair AS (SELECT a.track_id, a.cue, a.start_ms AS a_start, a.end_ms AS a_end, a.text AS a_text, b.start_ms AS b_start, b.end_ms AS b_end, b.text AS b_text
+         FROM cue a JOIN other b ON a.track_id = b.track_id AND a.cue = b.cue
+         WHERE a.track_id IN (SELECT track_id FROM sizes WHERE a_cues = b_cues))"""
+CHILD = """,
+cut AS (SELECT *, string_split(text, ' ') AS w, start_ms + (end_ms - start_ms) // 2 AS mid FROM cue),
+part AS (SELECT track_id, cue AS parent_cue, 1 AS k, start_ms, CASE WHEN len(w) > 1 THEN mid ELSE end_ms END AS end_ms,
+                CASE WHEN len(w) > 1 THEN array_to_string(w[1:(len(w) + 1) // 2], ' ') ELSE text END AS text FROM cut
+         UNION ALL
+         SELECT track_id, cue, 2, mid + CASE WHEN cue % 13 = 0 THEN 40 ELSE 0 END, end_ms + CASE WHEN cue % 19 = 0 THEN 7 ELSE 0 END,
+                array_to_string(w[(len(w) + 1) // 2 + 1:], ' ') || CASE WHEN cue % 17 = 0 THEN 'x' ELSE '' END FROM cut WHERE len(w) > 1),
+child AS (SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY parent_cue, k) AS INT) AS cue, parent_cue, start_ms, end_ms, text FROM part)"""
+TERM = """,
+found AS (SELECT track_id, cue, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: regexp_full_match(x, '[a-z]{6,}')))) AS word FROM cue),
+ranked AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS pos FROM (SELECT word, count(*) AS n FROM found GROUP BY word ORDER BY n DESC, word LIMIT 200)),
+term AS (SELECT pos, word AS en, CASE WHEN pos % 3 = 0 THEN []::VARCHAR[] ELSE [upper(word)] END AS aliases, pos % 2 = 0 AS exact_case,
+                CASE WHEN pos % 4 = 0 THEN word ELSE reverse(word) END AS target, CASE WHEN pos % 10 = 0 THEN 'job' ELSE 'project' END AS scope FROM ranked),
+form AS (SELECT pos, en, exact_case, target, scope, unnest(list_concat([en], aliases)) AS form, generate_subscripts(list_concat([en], aliases), 1) - 1 AS form_pos FROM term),
+token AS (SELECT DISTINCT track_id, cue, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS tok FROM cue),
+hit AS (SELECT DISTINCT t.track_id, t.cue, f.pos, f.form_pos, f.form, f.exact_case, f.en, f.target, f.scope
+        FROM token t JOIN form f ON (f.exact_case AND t.tok = f.form) OR (NOT f.exact_case AND lower(t.tok) = lower(f.form)))"""
+TERM = TERM.replace("\\\\", "\\")
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        QUERIES[name] = function
+        if oracle:
+            ORACLES[name] = oracle
+        return function
+
+    return add
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    """Findings without their detail map."""
+    return found.select("track_id", "severity", "code", "cue")
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + CUE + "".join(parts) + " "
+
+
+TIMELINE_SQL = """
+SELECT track_id, 'warning' AS severity, code, CAST(cue AS INT) AS cue FROM (
+  SELECT *, lag(start_ms) OVER w AS p_start, lag(end_ms) OVER w AS p_end FROM cue WINDOW w AS (PARTITION BY track_id ORDER BY cue)) x,
+  LATERAL (SELECT unnest(['out_of_order', 'source_overlap']) AS code) c
+WHERE (code = 'out_of_order' AND start_ms < p_start) OR (code = 'source_overlap' AND start_ms / 1000.0::DOUBLE < p_end / 1000.0::DOUBLE - 0.002::DOUBLE)"""
+
+
+@query("timeline_issues", _with() + TIMELINE_SQL)
+def timeline_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(L.timeline_issues(V.cues(spark, sf_dir)))
+
+
+def _readability(cues: DataFrame) -> DataFrame:
+    return L.readability_issues(cues)
+
+
+#: Latin text: every character is half a unit (marks none).
+READ_SQL = """
+SELECT track_id, severity, code, CAST(cue AS INT) AS cue FROM (
+  SELECT *, (end_ms / 1000.0::DOUBLE - start_ms / 1000.0::DOUBLE) AS s, length(regexp_replace(text, '\\p{M}', '', 'g')) * 0.5::DOUBLE + 0.5::DOUBLE * len(regexp_extract_all(text, '[“”‘’…]')) AS u FROM cue) x,
+  LATERAL (SELECT unnest([{'c': 'line_too_wide', 's': 'error', 'hit': u > 24}, {'c': 'line_above_target', 's': 'warning', 'hit': u > 16 AND u <= 24},
+                          {'c': 'short_duration', 's': 'warning', 'hit': s < 5.0::DOUBLE / 6}, {'c': 'high_reading_speed', 's': 'warning', 'hit': u / s > 9}]) AS f),
+  LATERAL (SELECT f.c AS code, f.s AS severity) g WHERE f.hit""".replace("\\\\", "\\")
+
+
+@query("readability_issues", _with() + READ_SQL)
+def readability_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_readability(V.cues(spark, sf_dir)))
+
+
+@query("entry_findings", f"{_with()}, issue AS ({TIMELINE_SQL} UNION ALL {READ_SQL}) SELECT track_id, code, severity, count(*) AS findings FROM issue GROUP BY ALL")
+def entry_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    return FI.union(L.timeline_issues(cues), _readability(cues)).groupBy("track_id", "code", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query(
+    "findings_capped",
+    f"""{_with()}, issue AS (SELECT *, 1 AS o FROM ({TIMELINE_SQL}) UNION ALL SELECT *, 4 AS o FROM ({READ_SQL})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY o, cue, CASE code WHEN 'out_of_order' THEN 1 WHEN 'source_overlap' THEN 2 WHEN 'short_duration' THEN 1000 WHEN 'high_reading_speed' THEN 1001 ELSE 1 END) AS rank FROM issue)
+    SELECT track_id, severity, code, cue, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20
+    UNION ALL SELECT track_id, 'error', 'issue_limit_reached', NULL, 21 FROM r WHERE rank = 21""",
+)
+def findings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    return FI.capped(FI.union(L.timeline_issues(cues), _readability(cues)), 20).select("track_id", "severity", "code", "cue", "rank")
+
+
+@query(
+    "quality_report",
+    f"""{_with()}, issue AS ({TIMELINE_SQL} UNION ALL {READ_SQL}), n AS (SELECT track_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM issue GROUP BY 1)
+    SELECT t.track_id, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings, coalesce(e, 0) = 0 AS passed FROM (SELECT DISTINCT track_id FROM cue) t LEFT JOIN n USING (track_id)""",
+)
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    return FI.report(FI.union(L.timeline_issues(cues), _readability(cues)), cues)
+
+
+SAMPLE_TEXTS = [
+    (1, "中文字幕"), (2, "AI 25"), (3, "　"), (4, "Café"), (5, "“引号”…"), (6, "１２３ＡＢＣ"), (7, "ひらがな カタカナ 한글"), (8, " a  b \t c "),
+    (9, "<i>three</i> > 2 <c.red>x</c>"), (10, "1,234.5% and 25 of 1,000"), (11, "line one <br/> line two"), (12, "<00:01.500>sung <v Ann>now</v>"), (13, "a⁠b"), (14, ""),
+]
+SAMPLES = "VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in SAMPLE_TEXTS)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts with the sample texts, which bring wide characters and mark-up."""
+    return V.table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-i, t) for i, t in SAMPLE_TEXTS], "doc_id long, text string"))
+
+
+TEXTS = f"WITH texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -i, t FROM ({SAMPLES}) v(i, t)) "
+_TAG = r"(?i)</?(?:i|b|u|s|font|lang|ruby|rt|v(?:\s+[^>]*)?|c(?:\.[\w-]+)*)(?:\s+[^>]*)?>"
+_CLEAN = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(160) || chr(8288), '  '), '(?i)<br\\s*/?>', chr(10), 'g'), "
+    f"'{_TAG}', '', 'g'), '<[0-9]{{1,3}}:[0-9]{{2}}(:[0-9]{{2}})?[.,][0-9]{{3}}>', '', 'g'), '[ \\t]+', ' ', 'g'), ' *\\n+ *', chr(10), 'g'))"
+)
+_ONE_LINE = f"trim(regexp_replace({_CLEAN}, '[\\s\\x{{3000}}]+', ' ', 'g'))"
+
+
+@query("clean_text", TEXTS + f"SELECT doc_id, trim({_CLEAN}, chr(10) || chr(9) || ' ' || chr(12288)) AS lines, trim({_ONE_LINE}, ' ' || chr(12288)) AS line, regexp_replace({_ONE_LINE}, '[\\s\\x{{3000}}]+', '', 'g') AS compared FROM texts")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("doc_id", X.clean_lines("text").alias("lines"), X.clean_text("text").alias("line"), X.comparison_key("text").alias("compared"))
+
+
+@query(
+    "display_units",
+    TEXTS
+    + r"SELECT doc_id, length(regexp_replace(text, '\p{M}', '', 'g')) * 0.5::DOUBLE + 0.5::DOUBLE * len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\x{3001}-\x{303F}\x{FF01}-\x{FF60}“”‘’…]')) AS units FROM texts",
+)
+def display_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("doc_id", X.display_units("text").alias("units"))
+
+
+@query(
+    "numbers_and_latin",
+    TEXTS
+    + r"""SELECT doc_id, array_to_string(list_sort(list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*%?'), lambda x: replace(x, ',', ''))), ' ') AS numbers,
+    CAST(len(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+')) AS INT) AS latin FROM texts""",
+)
+def numbers_and_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("doc_id", F.array_join(X.numbers("text"), " ").alias("numbers"), F.size(X.latin_words("text")).alias("latin"))
+
+
+SRT_SQL = "lpad(CAST({0} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
+ASS_SQL = "CAST((({0} + 5) // 10) // 360000 AS VARCHAR) || ':' || lpad(CAST((({0} + 5) // 10) // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((({0} + 5) // 10) // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST((({0} + 5) // 10) % 100 AS VARCHAR), 2, '0')"
+
+
+@query("clocks", _with() + f"SELECT track_id, cue, {SRT_SQL.format('start_ms')} AS srt, {ASS_SQL.format('end_ms')} AS ass, start_ms AS back FROM cue")
+def clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.cues(spark, sf_dir).select("track_id", "cue", timing.srt_clock(F.col("start_ms")).alias("srt"), timing.ass_clock(F.col("end_ms")).alias("ass"))
+    return rows.withColumn("back", timing.clock_ms(F.col("srt")))
+
+
+#: Tracks within the admission limit of 4,000 characters a cue.
+FITS = ", fits AS (SELECT * FROM cue WHERE track_id NOT IN (SELECT track_id FROM cue WHERE length(text) > 4000))"
+
+
+@query(
+    "srt_write",
+    _with(FITS) + f"SELECT track_id, sha256(string_agg(CAST(cue AS VARCHAR) || chr(10) || {SRT_SQL.format('start_ms')} || ' --> ' || {SRT_SQL.format('end_ms')} || chr(10) || trim(regexp_replace(text, '[ \\t]+', ' ', 'g')), chr(10) || chr(10) ORDER BY cue) || chr(10)) AS digest FROM fits GROUP BY 1",
+)
+def srt_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.srt_bodies(_fitting(V.cues(spark, sf_dir))).select("track_id", F.sha2("body", 256).alias("digest"))
+
+
+def _fitting(cues: DataFrame) -> DataFrame:
+    long_ = cues.where(F.length("text") > 4000).select("track_id").distinct()
+    return cues.join(long_, "track_id", "left_anti")
+
+
+SCAN_SQL = _with(FITS) + "SELECT track_id, CAST(cue AS INT) AS cue, start_ms, end_ms, trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS text FROM fits"
+
+
+@query("srt_scan", SCAN_SQL)
+def srt_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.read_srt(writers.srt_bodies(V.cues(spark, sf_dir))).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
+
+
+@query("srt_rejects", _with() + "SELECT track_id, CAST(min(cue) AS INT) AS pos, 'cue_too_long' AS code FROM cue WHERE length(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'))) > 4000 GROUP BY 1")
+def srt_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.read_srt(writers.srt_bodies(V.cues(spark, sf_dir))).rejects.select("track_id", F.col("pos").cast("int").alias("pos"), "code")
+
+
+@query("vtt_scan", SCAN_SQL)
+def vtt_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = writers.srt_bodies(V.cues(spark, sf_dir))
+    shown = F.replace(F.replace(F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    shown = F.regexp_replace(shown, r"(?m)^([0-9:]+),([0-9]{3}) --&gt; ([0-9:]+),([0-9]{3})$", "$1.$2 --> $3.$4 align:start")
+    return captions.read_vtt(bodies.select("track_id", F.concat(F.lit("WEBVTT\n\nNOTE made\n\n"), shown).alias("body"))).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
+
+
+@query(
+    "ass_scan",
+    _with(FITS) + "SELECT track_id, CAST(cue AS INT) AS cue, (start_ms + 5) // 10 * 10 AS start_ms, (end_ms + 5) // 10 * 10 AS end_ms, trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS text FROM fits",
+)
+def ass_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.cues(spark, sf_dir).withColumn("row", F.concat(F.lit("Dialogue: 0,"), timing.ass_clock(F.col("start_ms")), F.lit(","), timing.ass_clock(F.col("end_ms")), F.lit(",Bilingual,,0,0,0,,{\\q2}"), writers.ass_escape(F.col("text"))))
+    bodies = rows.groupBy("track_id").agg(F.concat(F.lit(writers.ass_header()), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue", "row"))), lambda x: x["row"]), "\n"), F.lit("\n")).alias("body"))
+    return captions.read_ass(bodies).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
+
+
+@query(
+    "json3_scan",
+    _with()
+    + """, ev AS (SELECT track_id, cue, start_ms, lead(start_ms) OVER (PARTITION BY track_id ORDER BY start_ms, cue) AS nxt, text FROM cue WHERE length(text) <= 70)
+    SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY start_ms, cue) AS INT) AS cue, start_ms,
+           CASE WHEN cue % 2 = 0 THEN start_ms + 1500 WHEN nxt > start_ms THEN nxt ELSE start_ms + 2000 END AS end_ms, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM ev""",
+)
+def json3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.cues(spark, sf_dir).where(F.length("text") <= 70)
+    half = F.floor(F.length("text") / 2).cast("int")
+    segs = F.array(F.struct(F.substr("text", F.lit(1), half).alias("utf8")), F.struct(F.substr(F.col("text"), half + 1, F.lit(100)).alias("utf8")))
+    event = F.struct(F.col("start_ms").alias("tStartMs"), F.when(F.col("cue") % 2 == 0, F.lit(1500)).alias("dDurationMs"), segs.alias("segs"))
+    bodies = rows.groupBy("track_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("cue", event.alias("e")))), lambda x: x["e"]).alias("events"))).alias("body"))
+    return captions.read_json3(bodies, most_seconds=1e9).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
+
+
+@query("json3_split")
+def json3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as single events, so that the splitter works; checked against brute force in the tests."""
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("track_id"), "text")
+    event = F.struct(F.lit(0).alias("tStartMs"), (F.length("text") * 60 + 1000).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs"))
+    return captions.read_json3(docs.select("track_id", F.to_json(F.struct(F.array(event).alias("events"))).alias("body"))).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
+
+
+@query("layer_counts", _with(OTHER) + "SELECT track_id, 'source' AS layer, count(*) AS cues FROM cue GROUP BY 1 UNION ALL SELECT track_id, 'translated', count(*) FROM other GROUP BY 1")
+def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    return L.layer_counts(("source", cues), ("translated", V.translated(cues)))
+
+
+@query(
+    "alignment_issues",
+    _with(OTHER)
+    + """SELECT track_id, 'error' AS severity, 'semantic_cue_count' AS code, CAST(NULL AS INT) AS cue FROM sizes WHERE a_cues <> b_cues
+    UNION ALL SELECT track_id, 'error', 'semantic_timing_changed', CAST(cue AS INT) FROM pair
+    WHERE NOT (abs(a_start / 1000.0::DOUBLE - b_start / 1000.0::DOUBLE) <= 0.002::DOUBLE AND abs(a_end / 1000.0::DOUBLE - b_end / 1000.0::DOUBLE) <= 0.002::DOUBLE)""",
+)
+def alignment_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    return _flat(L.alignment_issues(cues, V.translated(cues)))
+
+
+_NUM = "list_sort(list_transform(regexp_extract_all({}, '[0-9]+(?:[.,][0-9]+)*%?'), lambda x: replace(x, ',', '')))"
+
+
+@query("number_issues", _with(OTHER) + f"SELECT track_id, 'warning' AS severity, 'number_mismatch' AS code, CAST(cue AS INT) AS cue FROM pair WHERE {_NUM.format('a_text')} <> {_NUM.format('b_text')}")
+def number_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    return _flat(L.number_issues(cues, V.translated(cues)))
+
+
+_SQUEEZED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+SEGMENT_SQL = (
+    _with(CHILD)
+    + """, lagged AS (SELECT *, lag(end_ms) OVER (PARTITION BY track_id, parent_cue ORDER BY cue) AS p_end FROM child),
+    own AS (SELECT track_id, parent_cue, arg_min(start_ms, cue) AS f, arg_max(end_ms, cue) AS l, string_agg({squeezed_child}, ' ' ORDER BY cue) AS said FROM child GROUP BY 1, 2)
+    SELECT track_id, 'error' AS severity, 'readable_en_internal_timing' AS code, CAST(parent_cue AS INT) AS cue FROM lagged WHERE abs(p_end / 1000.0::DOUBLE - start_ms / 1000.0::DOUBLE) > 0.002::DOUBLE
+    UNION ALL SELECT c.track_id, 'error', 'readable_en_span_changed', CAST(c.cue AS INT) FROM cue c JOIN own o ON c.track_id = o.track_id AND c.cue = o.parent_cue
+    WHERE NOT (abs(f / 1000.0::DOUBLE - start_ms / 1000.0::DOUBLE) <= 0.002::DOUBLE AND abs(l / 1000.0::DOUBLE - end_ms / 1000.0::DOUBLE) <= 0.002::DOUBLE)
+    UNION ALL SELECT c.track_id, 'error', 'readable_en_text_drift', CAST(c.cue AS INT) FROM cue c JOIN own o ON c.track_id = o.track_id AND c.cue = o.parent_cue WHERE said <> {squeezed_text}
+    """.replace("{squeezed_child}", _SQUEEZED.format("text")).replace("{squeezed_text}", _SQUEEZED.format("text"))
+)
+
+
+@query("segmentation_issues", SEGMENT_SQL)
+def segmentation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    parts = V.children(cues)
+    return _flat(L.segmentation_issues(cues, parts, L.members_by_parent(cues, parts), "readable_en", "readable_en", X.clean_text, " "))
+
+
+@query("segmentation_by_time")
+def segmentation_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same checks with membership by time alone, on overlapping parents; checked against brute force in the tests."""
+    cues = V.cues(spark, sf_dir)
+    parts = V.children(cues)
+    return _flat(L.segmentation_issues(cues, parts, L.members_by_time(cues, parts), "readable_en", "readable_en", X.clean_text, " "))
+
+
+@query(
+    "english_issues",
+    _with(CHILD) + "SELECT track_id, 'error' AS severity, 'readable_en_too_wide' AS code, cue FROM child WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 84 UNION ALL SELECT track_id, 'error', 'readable_en_line_count', cue FROM child WHERE trim(text) = ''",
+)
+def english_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(L.english_issues(V.children(V.cues(spark, sf_dir))))
+
+
+def _shared_forms(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return T.forms(V.terms(spark, sf_dir).withColumn("track_id", F.lit(0).cast("long")), *keep)
+
+
+@query("term_forms", _with(TERM) + "SELECT pos, CAST(form_pos AS INT) AS form_pos, form, lower(form) AS fold, exact_case FROM form")
+def term_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared_forms(spark, sf_dir).select("pos", "form_pos", "form", "fold", "exact_case")
+
+
+@query("term_hits", _with(TERM) + "SELECT track_id, CAST(cue AS INT) AS cue, pos, CAST(form_pos AS INT) AS form_pos FROM hit")
+def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.hits(V.cues(spark, sf_dir), _shared_forms(spark, sf_dir), shared=True).select("track_id", "cue", "pos", "form_pos")
+
+
+@query("token_frequencies", _with() + "SELECT token, count(*) AS n FROM (SELECT DISTINCT track_id, cue, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM cue) GROUP BY 1")
+def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.token_frequencies(V.cues(spark, sf_dir).select(F.lower("text").alias("fold")))
+
+
+@query("rarest_anchors", _with(TERM) + "SELECT pos, CAST(form_pos AS INT) AS form_pos, lower(form) AS anchor FROM form")
+def rarest_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.anchored(_shared_forms(spark, sf_dir)).select("pos", "form_pos", "anchor")
+
+
+def _track_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cues of every 20th track, their translation, and the shared terms as each track's glossary and decisions."""
+    cues = V.cues(spark, sf_dir).where("track_id % 20 = 3")
+    shared = V.terms(spark, sf_dir).withColumn("project", F.lit(1))
+    tracks = cues.select("track_id").distinct().withColumn("project", F.lit(1))
+    mine = T.for_tracks(shared, tracks)
+    # a decision of the job narrows the project term of its word: capitals only
+    decisions = mine.where("scope = 'job' or pos % 7 = 0").withColumns({"scope": F.lit("job"), "en": F.when(F.col("pos") % 7 == 0, F.upper("en")).otherwise(F.col("en")), "aliases": F.expr("cast(array() as array<string>)"), "case_sensitive": F.lit(True), "target": F.upper("target")})
+    return cues, V.translated(cues), mine.where("scope = 'project'"), decisions
+
+
+TRACK_TERM = """,
+dec AS (SELECT pos, CASE WHEN pos % 7 = 0 THEN upper(en) ELSE en END AS en, upper(target) AS target FROM term WHERE scope = 'job' OR pos % 7 = 0),
+pform AS (SELECT * FROM form WHERE scope = 'project'),
+covered AS (SELECT pos, count(*) AS c FROM pform p WHERE exact_case AND EXISTS (SELECT 1 FROM dec d WHERE d.en = p.form) GROUP BY pos),
+active AS (SELECT * FROM pform WHERE pos NOT IN (SELECT pos FROM covered JOIN (SELECT pos, count(*) AS n FROM pform GROUP BY pos) USING (pos) WHERE c = n))"""
+
+
+@query("term_shadowing", _with(TERM, TRACK_TERM) + "SELECT c.track_id, a.pos, a.en, false AS is_job FROM (SELECT DISTINCT track_id FROM cue WHERE track_id % 20 = 3) c, (SELECT DISTINCT pos, en FROM active) a UNION ALL SELECT c.track_id, d.pos, d.en, true FROM (SELECT DISTINCT track_id FROM cue WHERE track_id % 20 = 3) c, dec d")
+def term_shadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, glossary, decisions = _track_terms(spark, sf_dir)
+    return T.active_terms(glossary, decisions).select("track_id", "pos", "en", "is_job")
+
+
+MISSING_SQL = (
+    _with(TERM, TRACK_TERM, ", " + OTHER.lstrip(",\n"))
+    + """, mine AS (SELECT * FROM cue WHERE track_id % 20 = 3), words AS (SELECT track_id, cue, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS tok FROM mine),
+    jobhit AS (SELECT DISTINCT w.track_id, w.cue, d.pos, d.en, d.target FROM words w JOIN dec d ON w.tok = d.en),
+    prohit AS (SELECT DISTINCT w.track_id, w.cue, a.pos, a.en, a.target FROM words w JOIN active a ON (a.exact_case AND w.tok = a.form) OR (NOT a.exact_case AND lower(w.tok) = lower(a.form))
+               WHERE NOT EXISTS (SELECT 1 FROM jobhit j WHERE j.track_id = w.track_id AND j.cue = w.cue AND j.en = w.tok)),
+    need AS (SELECT track_id, cue, en, target FROM jobhit UNION ALL SELECT track_id, cue, en, target FROM prohit)
+    SELECT n.track_id, 'error' AS severity, 'missing_active_term' AS code, CAST(n.cue AS INT) AS cue, n.en FROM need n JOIN other o ON n.track_id = o.track_id AND n.cue = o.cue
+    WHERE NOT contains(o.text, n.target)"""
+)
+
+
+@query("missing_active_terms", MISSING_SQL)
+def missing_active_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.missing_terms(*_track_terms(spark, sf_dir))
+    return found.select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Term words as one track's candidates that cite cues pos % 9 + 1 and pos; decisions for all but each fifth."""
+    cues = V.cues(spark, sf_dir).where("track_id = 3")
+    base = V.terms(spark, sf_dir).withColumn("track_id", F.lit(3).cast("long"))
+    cited = base.withColumn("cues", F.array((F.col("pos") % 9 + 1).cast("int"), F.col("pos").cast("int")))
+    decided = base.where("pos % 5 <> 0").withColumns({"approval": F.when(F.col("pos") % 6 == 0, "review-required").otherwise("approved"), "aliases": F.when(F.col("pos") % 8 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.col("aliases"))})
+    return cited, decided, cues
+
+
+@query(
+    "candidate_issues",
+    _with(TERM)
+    + """, mine AS (SELECT * FROM cue WHERE track_id = 3), cited AS (SELECT DISTINCT pos, en, unnest([pos % 9 + 1, pos]) AS c FROM term),
+    ev AS (SELECT DISTINCT pos, cue FROM hit WHERE track_id = 3)
+    SELECT 'error' AS severity, 'term_candidate_range' AS code, CAST(NULL AS INT) AS cue, en FROM cited WHERE c NOT IN (SELECT cue FROM mine)
+    UNION ALL SELECT 'error', 'term_candidate_evidence', CAST(c AS INT), en FROM cited WHERE c IN (SELECT cue FROM mine) AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.pos = cited.pos AND ev.cue = cited.c)
+    UNION ALL SELECT 'error', CASE WHEN pos % 5 = 0 OR (pos % 8 = 0 AND len(aliases) > 0 AND exact_case) THEN 'candidate_without_decision' ELSE 'term_unresolved' END, NULL, en FROM term
+    WHERE pos % 5 = 0 OR (pos % 8 = 0 AND len(aliases) > 0 AND exact_case) OR pos % 6 = 0""",
+)
+def candidate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.candidate_issues(*_candidates(spark, sf_dir)).select("severity", "code", "cue", F.col("details")["en"].alias("en"))
+
+
+@query("application_issues", _with(TERM) + "SELECT 'project_term_not_applied' AS code, en FROM term WHERE scope = 'project' AND pos % 5 <> 0 AND pos % 6 <> 0 AND pos % 9 = 0")
+def application_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, decided, _ = _candidates(spark, sf_dir)
+    glossary = V.terms(spark, sf_dir).withColumn("track_id", F.lit(3).cast("long")).withColumn("target", F.when(F.col("pos") % 9 == 0, "other").otherwise(F.col("target")))
+    return T.application_issues(decided, glossary).select("code", F.col("details")["en"].alias("en"))
+
+
+@query("latin_issues", _with(TERM) + """, ok AS (SELECT lower(target) AS w FROM term), said AS (SELECT track_id, cue, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+'))) AS w FROM cue)
+    SELECT DISTINCT track_id, 'warning' AS severity, CASE WHEN lower(w) IN (SELECT w FROM ok) THEN 'approved_latin' ELSE 'untranslated_latin' END AS code, CAST(cue AS INT) AS cue FROM said""")
+def latin_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    tracks = cues.select("track_id").distinct().withColumn("project", F.lit(1))
+    targets = T.for_tracks(V.terms(spark, sf_dir).select("target").withColumn("project", F.lit(1)), tracks)
+    return _flat(L.latin_issues(cues, targets))
+
+
+def _raw_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a raw glossary: names of parts, with repeats among them."""
+    parts = V.table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    return parts.where("p_partkey <= 300").select(
+        F.floor(F.col("p_partkey") / 100).cast("long").alias("track_id"), F.col("p_partkey").alias("pos"), none.alias("id"), F.concat(F.lit("  "), F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("en"),
+        F.array(F.concat(F.col("p_name"), F.lit(" ")), F.upper("p_name"), F.col("p_name")).alias("aliases"), F.when(F.col("p_partkey") % 2 == 0, F.lit(False)).alias("case_sensitive"), F.when(F.col("p_partkey") % 10 != 0, F.lower("p_name")).alias("target"),
+        none.alias("category"), none.alias("approval"), none.alias("scope"), none.alias("status"), F.when(F.col("p_partkey") % 3 == 0, "because").alias("rationale"),
+    )
+
+
+RAW = """WITH raw AS (SELECT p_partkey // 100 AS track_id, p_partkey AS pos, p_type || ' ' || p_brand AS en, p_name, p_partkey % 2 = 1 AS exact_case, p_partkey % 10 <> 0 AS has_target, p_partkey % 3 = 0 AS because FROM part WHERE p_partkey <= 300),
+al AS (SELECT *, CASE WHEN exact_case AND upper(p_name) <> p_name THEN [p_name, upper(p_name)] ELSE [p_name] END AS aliases FROM raw),
+sl AS (SELECT *, substr(regexp_replace(regexp_replace(lower(en), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS slug FROM al)"""
+
+
+@query("normalised_terms", RAW + " SELECT track_id, pos, slug AS id, en, array_to_string(aliases, '|') AS aliases, exact_case AS case_sensitive, CASE WHEN NOT has_target THEN 'target_missing' END AS code FROM sl")
+def normalised_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.normalised_terms(_raw_terms(spark, sf_dir)).select("track_id", "pos", "id", "en", F.array_join("aliases", "|").alias("aliases"), "case_sensitive", "code")
+
+
+@query("form_conflicts", RAW + """, f AS (SELECT track_id, pos, exact_case, unnest(list_concat([en], aliases)) AS form, generate_subscripts(list_concat([en], aliases), 1) AS k FROM al)
+    SELECT a.track_id, a.pos, a.form, min(b.pos) AS other_pos FROM f a JOIN f b ON a.track_id = b.track_id AND b.pos < a.pos AND lower(a.form) = lower(b.form) AND (NOT (a.exact_case AND b.exact_case) OR a.form = b.form) GROUP BY a.track_id, a.pos, a.k, a.form""")
+def form_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.form_conflicts(G.normalised_terms(_raw_terms(spark, sf_dir)))
+
+
+@query("term_ids", RAW + " SELECT track_id, pos, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS id FROM (SELECT *, row_number() OVER (PARTITION BY track_id, slug ORDER BY pos) AS n FROM sl)")
+def term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.term_ids(_raw_terms(spark, sf_dir))
+
+
+@query("glossary_lint", RAW + """, v AS (SELECT * FROM sl WHERE has_target), f AS (SELECT track_id, pos, exact_case, unnest(list_concat([en], aliases)) AS form, generate_subscripts(list_concat([en], aliases), 1) AS k FROM v)
+    SELECT track_id, 'error' AS severity, 'target_missing' AS reason, pos AS seq FROM sl WHERE NOT has_target
+    UNION ALL SELECT track_id, 'error', 'id_repeated', pos FROM (SELECT *, row_number() OVER (PARTITION BY track_id, slug ORDER BY pos) AS n FROM v) WHERE n > 1
+    UNION ALL SELECT track_id, 'warning', NULL, pos + 10000 FROM v WHERE NOT because
+    UNION ALL SELECT a.track_id, 'error', 'form_repeated', a.pos FROM f a WHERE EXISTS (SELECT 1 FROM f b WHERE a.track_id = b.track_id AND b.pos < a.pos AND lower(a.form) = lower(b.form) AND (NOT (a.exact_case AND b.exact_case) OR a.form = b.form))""")
+def glossary_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.lint(G.normalised_terms(_raw_terms(spark, sf_dir)))
+    return found.select("track_id", "severity", F.col("details")["reason"].alias("reason"), F.col("seq").cast("long").alias("seq"))
+
+
+def _merge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as glossary, nations and regions as decisions: new targets for odd nations, regions added."""
+    nation, region = V.table(spark, sf_dir, "nation"), V.table(spark, sf_dir, "region")
+    raw = lambda d, key, name, pos, target: d.select(F.lit(1).cast("long").alias("track_id"), pos.cast("long").alias("pos"), F.lit(None).cast("string").alias("id"), F.col(name).alias("en"), F.expr("cast(array() as array<string>)").alias("aliases"), F.lit(False).alias("case_sensitive"), target.alias("target"), *[F.lit(None).cast("string").alias(c) for c in ("category",)], F.lit("approved").alias("approval"), F.lit("project").alias("scope"), F.lit("approved").alias("status"), F.lit("").alias("rationale"))
+    old = raw(nation, "n_nationkey", "n_name", F.col("n_nationkey"), F.lower("n_name"))
+    odd = raw(nation.where("n_nationkey % 2 = 1"), "n_nationkey", "n_name", F.col("n_nationkey"), F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).otherwise(F.reverse("n_name")))
+    new = odd.unionByName(raw(region, "r_regionkey", "r_name", 100 + F.col("r_regionkey"), F.lower("r_name")))
+    return G.normalised_terms(old).drop("code"), G.normalised_terms(new, decisions=True).drop("code")
+
+
+@query("glossary_merge", """SELECT n_name AS en, CASE WHEN n_nationkey % 2 = 1 AND n_nationkey % 3 <> 0 THEN reverse(n_name) ELSE lower(n_name) END AS target, CASE WHEN n_nationkey % 2 = 1 AND n_nationkey % 3 <> 0 THEN 'update' ELSE 'keep' END AS action, CASE WHEN n_nationkey % 2 = 1 AND n_nationkey % 3 <> 0 THEN lower(n_name) END AS was FROM nation
+    UNION ALL SELECT r_name, lower(r_name), 'add', NULL FROM region""")
+def glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.merged(*_merge(spark, sf_dir)).select("en", "target", "action", F.col("before.target").alias("was"))
+
+
+@query("glossary_journal", "SELECT 4 AS revision_before, 5 AS revision_after, (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 1 AND n_nationkey % 3 <> 0) + (SELECT count(*) FROM region) AS changes")
+def glossary_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = G.journal(G.merged(*_merge(spark, sf_dir)), spark.createDataFrame([(1, 4)], "track_id long, revision int"))
+    return made.select("revision_before", "revision_after", F.size("changes").cast("long").alias("changes"))
+
+
+def _coverage(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of 10 cues, but for tracks divisible by 7 without the last; one malformed range each. And the totals."""
+    totals = cues.groupBy("track_id").agg(F.count(F.lit(1)).alias("total"))
+    tens = totals.select("track_id", "total", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / 10))).alias("k"))
+    ranges = tens.where("track_id % 7 <> 0 or k < floor((total - 1) / 10)").select("track_id", (F.col("k") * 10 + 1).cast("int").alias("cue_start"), F.least(F.col("k") * 10 + 10, "total").cast("int").alias("cue_end"))
+    return ranges.unionByName(totals.select("track_id", F.lit(0).alias("cue_start"), F.lit(5).alias("cue_end"))), totals
+
+
+@query("coverage_complete", _with() + "SELECT track_id, track_id % 7 <> 0 AS complete FROM cue GROUP BY track_id")
+def coverage_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.coverage_complete(*_coverage(V.cues(spark, sf_dir)))
+
+
+BATCH = """, b AS (SELECT track_id, max(cue) AS total, unnest(range(0, CAST((max(cue) - 1) // 10 + 1 AS BIGINT))) AS k FROM cue GROUP BY track_id),
+    inb AS (SELECT b.track_id, b.k, total, c.cue, c.text, o.text AS other_text, o.start_ms AS o_start, c.start_ms FROM b JOIN cue c ON b.track_id = c.track_id AND c.cue BETWEEN k * 10 AND k * 10 + 11 LEFT JOIN other o ON o.track_id = c.track_id AND o.cue = c.cue)"""
+
+
+@query("review_batches", _with(OTHER) + BATCH + " SELECT track_id, CAST(k * 10 + 1 AS INT) AS cue_start, CAST(least(k * 10 + 10, total) AS INT) AS cue_end, sum(length(text)) + 0 AS source_chars, count(*) AS rows FROM inb GROUP BY track_id, k, total")
+def review_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    made = R.batches(cues, V.translated(cues), 10)
+    inside = F.from_json("input", "source array<struct<cue:int,text:string>>")["source"]
+    return made.select("track_id", "cue_start", "cue_end", F.aggregate(inside, F.lit(0), lambda a, x: a + F.length(x["text"])).cast("long").alias("source_chars"), F.size(inside).cast("long").alias("rows"))
+
+
+@query(
+    "review_reuse",
+    _with(OTHER)
+    + BATCH
+    + """ SELECT track_id, CAST(k * 10 + 1 AS INT) AS cue_start, CAST(least(k * 10 + 10, total) AS INT) AS cue_end,
+    NOT bool_or(cue % 23 = 0) AND NOT (track_id % 7 = 0 AND k = (total - 1) // 10 AND total > 5) AS reused FROM inb GROUP BY track_id, k, total""",
+)
+def review_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    other = V.translated(cues)
+    before = cues.withColumn("text", F.when(F.col("cue") % 23 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    coverage, _ = _coverage(cues)
+    return R.reused(R.batches(cues, other, 10), R.batches(before, other, 10), coverage).drop("input")
+
+
+@query("word_timing", _with() + """, w AS (SELECT track_id, cue, start_ms, end_ms, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS k FROM cue WHERE length(text) <= 300)
+    SELECT track_id, CAST(cue AS INT) AS cue, CAST(k AS INT) AS k, word, round(start_ms + (end_ms - start_ms) * (sum(length(word)) OVER (PARTITION BY track_id, cue ORDER BY k) - length(word)) / sum(length(word)) OVER (PARTITION BY track_id, cue)::DOUBLE, 3) AS at_ms FROM w""")
+def word_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    words = V.cues(spark, sf_dir).where(F.length("text") <= 300).select("track_id", "cue", "start_ms", "end_ms", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("k", "word"))
+    whole = W.partitionBy("track_id", "cue")
+    before = F.sum(F.length("word")).over(whole.orderBy("k")) - F.length("word")
+    at = F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * before / F.sum(F.length("word")).over(whole).cast("double")
+    return words.select("track_id", "cue", (F.col("k") + 1).alias("k"), "word", F.round(at, 3).alias("at_ms"))
+
+
+@query("event_intervals", """SELECT user_id, event_id, date_sub('millisecond', ts, coalesce(lead(ts) OVER w, ts + INTERVAL 2 SECOND)) AS span_ms, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(row_number() OVER w AS INT) AS cue FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    ahead = F.coalesce(F.lead("ts").over(w), F.expr("ts + interval 2 seconds"))
+    span = F.timestamp_diff("MILLISECOND", F.col("ts"), F.col("ahead"))
+    return V.table(spark, sf_dir, "events").withColumns({"ahead": ahead, "cue": F.row_number().over(w)}).select("user_id", "event_id", span.alias("span_ms"), F.get_json_object("props", "$.k").cast("long").alias("k"), "cue")
+
+
+def _readable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences of documents in turn as cues for the segmentation: those of up to 300 characters."""
+    rows = V.cues(spark, sf_dir).select("track_id", F.col("cue").alias("line"), F.posexplode(F.split("text", r"(?<=[.]) ", -1)).alias("k", "text")).where(F.length("text").between(1, 300))
+    from pyspark.sql import Window as W
+
+    number = F.row_number().over(W.partitionBy("track_id").orderBy("line", "k"))
+    rows = rows.select("track_id", number.alias("cue"), "text")
+    earlier = W.partitionBy("track_id").orderBy("cue").rowsBetween(W.unboundedPreceding, -1)
+    long_ = (2000 + 60 * F.length("text")).cast("long")
+    start = F.coalesce(F.sum(long_).over(earlier), F.lit(0))
+    cues = rows.select("track_id", "cue", start.alias("start_ms"), (start + long_).alias("end_ms"), "text")
+    return cues, cues.withColumn("text", F.regexp_replace("text", "[ ]", "，"))
+
+
+@query("readable_layers")
+def readable_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest-path segmentation; its invariants and golden cases are in the tests."""
+    return S.readable_layers(*_readable(spark, sf_dir))[0]
+
+
+@query("readable_problems")
+def readable_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.readable_layers(*_readable(spark, sf_dir), bilingual=True)[1]
+
+
+@query("ass_write", _with() + f""", ok AS (SELECT * FROM cue WHERE track_id NOT IN (SELECT track_id FROM cue WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 48 OR length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 84))
+    SELECT track_id, count(*) AS events, sha256(string_agg('Dialogue: 0,' || {ASS_SQL.format('start_ms')} || ',' || {ASS_SQL.format('end_ms')} || ',Bilingual,,0,0,0,,{{\\q2}}' || trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) || '\\N{{\\fs32}}' || trim(regexp_replace(text, '[ \\t]+', ' ', 'g')), chr(10) ORDER BY cue) || chr(10)) AS digest FROM ok GROUP BY 1""")
+def ass_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = V.cues(spark, sf_dir)
+    made, _ = writers.ass_bodies(cues, cues)
+    return made.select("track_id", F.regexp_count("body", F.lit("(?m)^Dialogue:")).cast("long").alias("events"), F.sha2(F.substring("body", len(writers.ass_header()) + 1, 2**30), 256).alias("digest"))
