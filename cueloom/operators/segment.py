@@ -90,33 +90,33 @@ def cut_costs(text: str, clusters: list[str], terms: list[str]) -> dict[int, int
     return costs
 
 
-def _cheapest(ends: list[int], count: int, reach, cost) -> list[int] | None:
+def _cheapest(ends: list[int], count: int, reach, cost, room) -> list[int] | None:
     """Ends of ``count`` chunks with the least sum of ``cost(start, end)``, the earliest predecessor of equal ones.
 
-    ``reach(start, end)`` is False where the chunk is too wide, which also ends the search from that start.
+    ``reach(start, end)`` is False where the chunk is too wide, which also ends the search from that start; ``room(end, n)``
+    is False where n chunks can't hold what comes after ``end``.
     """
-    best: list[dict[int, tuple[float, int]]] = [{0: (0.0, -1)}]
-    for used in range(count):
+    final = len(ends) - 1
+    layers: list[dict[int, tuple[float, int]]] = [{-1: (0.0, -2)}]
+    for rest in range(count - 1, -1, -1):
         following: dict[int, tuple[float, int]] = {}
-        rest = count - used - 1
-        for start in sorted(best[-1]):
-            spent = best[-1][start][0]
-            for k, end in enumerate(ends):
-                if end <= start:
-                    continue
+        for k in sorted(layers[-1]):
+            spent, start = layers[-1][k][0], ends[k] if k >= 0 else 0
+            for j in range(k + 1, final + 1 if rest == 0 else final + 1 - rest):
+                end = ends[j]
                 if not reach(start, end):
                     break
-                if (rest == 0) != (k == len(ends) - 1) or len(ends) - 1 - k < rest:
+                if rest == 0 and j != final or rest and not room(end, rest):
                     continue
                 added = cost(start, end)
-                if added is not None and (end not in following or spent + added < following[end][0]):
-                    following[end] = (spent + added, start)
-        best.append(following)
-    if ends[-1] not in best[-1]:
+                if added is not None and (j not in following or spent + added < following[j][0]):
+                    following[j] = (spent + added, k)
+        layers.append(following)
+    if final not in layers[-1]:
         return None
-    out, at = [], ends[-1]
-    for layer in reversed(best[1:]):
-        out.append(at)
+    out, at = [], final
+    for layer in reversed(layers[1:]):
+        out.append(ends[at])
         at = layer[at][1]
     return out[::-1]
 
@@ -136,7 +136,7 @@ def cut_target(text: str, clusters: list[str], count: int, terms: list[str], mos
             return None
         return (wide - fair) ** 2 + costs[end] * 12 + (max(0.0, 4 - wide) * 15)
 
-    found = _cheapest(ends, count, lambda a, b: sums[b] - sums[a] <= most, price)
+    found = _cheapest(ends, count, lambda a, b: sums[b] - sums[a] <= most, price, lambda at, n: sums[-1] - sums[at] <= n * most)
     return found and [text[a:b].strip() for a, b in zip([0, *found[:-1]], found, strict=True)]
 
 
@@ -158,7 +158,7 @@ def cut_source(text: str, count: int, terms: list[tuple[str, bool]], most: int =
         return (sums[b] - sums[a] - 1 - fair) ** 2 - (12 if words[b - 1].endswith((".", "!", "?", ",", ";", ":")) else 0)
 
     # protected ends only bar a cut: chunks may run over them
-    found = _cheapest(ends, count, lambda a, b: sums[b] - sums[a] - 1 <= most, price) if len(ends) >= count else None
+    found = _cheapest(ends, count, lambda a, b: sums[b] - sums[a] - 1 <= most, price, lambda at, n: sums[-1] - sums[at] <= n * (most + 1)) if len(ends) >= count else None
     return found and [" ".join(words[a:b]) for a, b in zip([0, *found[:-1]], found, strict=True)]
 
 
