@@ -22,13 +22,13 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cueloom.llm.common import materialize
+from cueloom.llm.common import materialize, release_memory, small_batches
 from cueloom.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words of the lexicon, and counters that a task keeps while it counts (a word with over 1/COUNTERS of a task's words is never missed).
@@ -48,7 +48,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 @lru_cache(1)
 def classes() -> np.ndarray:
     table = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
-    first = np.array([ord(unicodedata.category(chr(i))[0]) for i in range(sys.maxunicode + 1)], dtype=np.uint8)
+    first = np.fromiter((ord(unicodedata.category(chr(i))[0]) for i in range(sys.maxunicode + 1)), dtype=np.uint8)
     table[first == ord("L")], table[first == ord("N")] = LETTER, NUMBER
     table[WHITE] = SPACE
     return table
@@ -78,22 +78,33 @@ class Vocabulary:
         self.inner = np.array([self.ids[s] for s in byte_symbols()], dtype=np.int64)
         self.last = np.array([self.ids[s + suffix] for s in byte_symbols()], dtype=np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        ranks = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
         self.tokens = np.empty(self.size, dtype=object)
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = token.encode()
         # the same ranks as an open-addressing table for whole arrays
-        bits = (4 * len(self.ranks)).bit_length()
+        bits = (4 * len(ranks)).bit_length()
         self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
         self.key = np.full(1 << bits, -1, dtype=np.int64)
         self.rank, self.made = np.full(1 << bits, NEVER, dtype=np.int32), np.zeros(1 << bits, dtype=np.int32)
-        for (a, b), (rank, made) in self.ranks.items():
+        for (a, b), (rank, made) in ranks.items():
             key = a * self.size + b
             at = int(self._slot(np.array([key]))[0])
             while self.key[at] >= 0:
                 at = (at + 1) & self.mask
             self.key[at], self.rank[at], self.made[at] = key, rank, made
 
+    def __getstate__(self) -> dict:
+        """What workers need; the vocabulary's strings and the merges stay behind."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "ranks")}
+
+    @cached_property
+    def ranks(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, id made) of each pair that merges."""
+        at = np.flatnonzero(self.key >= 0)
+        pairs = zip((self.key[at] // self.size).tolist(), (self.key[at] % self.size).tolist(), self.rank[at].tolist(), self.made[at].tolist(), strict=True)
+        return {(a, b): (rank, made) for a, b, rank, made in pairs}
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -338,6 +349,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             add(held)
         top = heapq.nlargest(COUNTERS, counts.items(), key=lambda x: (x[1], x[0]))
+        counts.clear()
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     return source.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -355,16 +368,16 @@ def build_lexicon(vocabulary: Vocabulary, docs: DataFrame, text: str = "text", w
 
 
 class _Worker:
-    """A worker process's vocabulary and lexicon, by the broadcasts' digests."""
+    """A worker process's lexicon, by the broadcast's digest."""
 
-    held: dict[str, tuple[Vocabulary, Lexicon]] = {}
+    held: dict[bytes, Lexicon] = {}
 
     @classmethod
-    def get(cls, blob: bytes, lexicon: bytes) -> tuple[Vocabulary, Lexicon]:
-        key = hashlib.sha256(blob).hexdigest() + hashlib.sha256(lexicon).hexdigest()
+    def get(cls, lexicon: bytes) -> Lexicon:
+        key = hashlib.sha256(lexicon).digest()
         if key not in cls.held:
             cls.held.clear()
-            cls.held[key] = Vocabulary(blob), Lexicon.from_bytes(lexicon)
+            cls.held[key] = Lexicon.from_bytes(lexicon)
         return cls.held[key]
 
 
@@ -380,11 +393,13 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ident: str
     with open(vocabulary_path, "rb") as f:
         blob = f.read()
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((blob, build_lexicon(Vocabulary(blob), docs, text) if lexicon is None else lexicon))
+    small_batches(docs.sparkSession)
+    known = Vocabulary(blob)
+    shared = context.broadcast((known, build_lexicon(known, docs, text) if lexicon is None else lexicon))
     source = docs.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, lexicon = _Worker.get(*shared.value)
+        vocabulary, lexicon = shared.value[0], _Worker.get(shared.value[1])
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
@@ -403,6 +418,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ident: str
                     flat = np.concatenate([y for x in kept for y in x] or [np.empty(0, dtype=np.int32)])
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+        release_memory()
 
     fields = [T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return source.mapInArrow(run, T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids))
@@ -411,11 +427,11 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ident: str
 def decode(rows: DataFrame, vocabulary_path: str, ids: str = "ids", ident: str = "doc_id") -> DataFrame:
     """(doc_id, text): tokens joined as the library joins them without a decoder, special tokens included. Null ids: empty."""
     with open(vocabulary_path, "rb") as f:
-        shared = rows.sparkSession.sparkContext.broadcast((f.read(), b""))
+        shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(f.read()))
     source = rows.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(ids), F.expr("cast(array() as array<int>)")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Vocabulary(shared.value[0]).tokens
+        tokens = shared.value.tokens
         for batch in batches:
             made = [b" ".join(tokens[np.asarray(x.as_py(), dtype=np.int64)].tolist()).decode() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["doc_id", "text"])

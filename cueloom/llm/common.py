@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,6 +36,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most for this session: a Python worker and the JVM hold one each for every column set."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; Python workers live on between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

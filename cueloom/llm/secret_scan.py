@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from cueloom.llm.common import small_batches
+
 #: Characters between complementary parts at most.
 REACH = 240
 
@@ -116,6 +118,7 @@ def scan(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFram
     Defined cases: a null or empty text has no spans; texts are scanned whole; rows are independent, so repeated rows give
     equal results and an empty table stays empty; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

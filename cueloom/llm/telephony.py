@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cueloom.llm.common import small_batches
+
 RATE = 8000
 #: WAVE format tags.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
@@ -175,6 +177,7 @@ def store(docs: DataFrame, text: str = "text", ident: str = "doc_id", codec: str
     Defined cases: a null or empty text is 64 zero bytes; texts of any length are stored whole; rows are independent, so
     equal texts get equal values and an empty table stays empty; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(ident).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +227,7 @@ def summarise(docs: DataFrame, text: str = "text", ident: str = "doc_id", codec:
     The feature gives peak/energy/zero crossings of the data read as mu-law, as A-law and as ADPCM blocks, those of the 16
     kHz PCM, and that PCM's CRC. Cases as in :func:`store`.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(ident).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
