@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cueloom.llm.common import free_name, materialize
+from cueloom.llm.common import free_name, materialize, small_batches
 
 #: Labelled rows of each kind that the classifier is fitted on, at most.
 POSITIVES, NEGATIVES = 6_000, 12_000
@@ -39,8 +39,8 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¢": "c", "(": "c", "<": "c",
 }
 #: Negative log probabilities of the channel: a letter written as a symbol, a symbol put in, letters set apart by marks, a
-#: vowel masked by a star, a letter repeated, one of a pair that is dropped.
-AS_SYMBOL, PUT_IN, SET_APART, MASKED, REPEATED, DROPPED = 0.7, 6.0, 0.5, 1.5, 0.7, 3.0
+#: vowel masked by a star, a letter repeated, one of a pair that is dropped; a mark that stands between words.
+AS_SYMBOL, PUT_IN, SET_APART, MASKED, REPEATED, DROPPED, BETWEEN = 0.7, 6.0, 0.5, 1.5, 0.7, 3.0, 1.0
 
 WORDS = re.compile(r"[^\W\d_]+")
 _SIGN = re.escape("".join(STANDS_FOR))
@@ -71,7 +71,7 @@ class CharModel:
         self.cost = (-np.log((three + 4 * pair[None]) / (three.sum(2, keepdims=True) + 4))).tolist()
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The cheapest reading of a lattice of (letters, cost) arcs."""
+        """The cheapest reading of a lattice of (letters, cost) arcs; a space is a word border."""
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for arcs in lattice:
             after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -79,9 +79,9 @@ class CharModel:
                 for letters, extra in arcs:
                     x, y, cost = a, b, spent + extra
                     for letter in letters:
-                        z = ord(letter) - 96
+                        z = 0 if letter == " " else ord(letter) - 96
                         cost += self.cost[x][y][z]
-                        x, y = y, z
+                        x, y = (y, z) if z else (0, 0)
                     held = after.get((x, y))
                     if held is None or (cost, read + letters) < held:
                         after[x, y] = cost, read + letters
@@ -98,21 +98,21 @@ def lattice_of(stretch: str) -> list[list[tuple[str, float]]]:
         elif c in STANDS_FOR:
             out.append([(s, AS_SYMBOL + REPEATED * (n > 1)) for s in STANDS_FOR[c]] + [(2 * s, 2 * AS_SYMBOL) for s in STANDS_FOR[c] if n > 1] + [("", PUT_IN)])
         else:
-            out.append([("", SET_APART)] + [(v, MASKED) for v in "aeiou" if c == "*" and n == 1])
+            out.append([("", SET_APART), (" ", BETWEEN)] + [(v, MASKED) for v in "aeiou" if c == "*" and n == 1])
     return out
 
 
 def restored(text: str, model: CharModel, cache: dict[str, str]) -> list[str]:
-    """Readings of the disguised stretches of a text, in order."""
+    """The words read from the disguised stretches of a text, in order."""
     out = []
     for m in DISGUISED.finditer(text):
         stretch = m[0]
         read = cache.get(stretch)
         if read is None:
-            if len(cache) >= 100_000:
+            if len(cache) >= 20_000:
                 cache.clear()
             read = cache[stretch] = model.decode(lattice_of(stretch))
-        out.append(read)
+        out.extend(read.split())
     return out
 
 
@@ -270,6 +270,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.15) -> tuple[np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id") -> Model:
     """A model from all texts and the labelled ones of ``docs``; without toxic training rows it scores all alike."""
+    small_batches(docs.sparkSession)
     grams = corpus_trigrams(docs, text)
     rows = materialize(_sampled(docs, labels, text, ident))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -306,6 +307,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     Defined cases: null and empty texts score as a text without any of the features; texts of any length are read whole;
     rows are independent, so repeated rows score alike and an empty table stays empty; a column named ``out`` is replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
