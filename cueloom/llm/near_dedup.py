@@ -2,15 +2,16 @@
 
 The fingerprint here is over a text's distinct words, which few edits change little: texts whose five-word shingles are 0.8
 alike differ in about five of 64 bits. Golay keys of such a distance alone would need thousands of rows a text or would meet
-by chance, and ever more so in a larger corpus; so a segment's Golay key is joined with an anchor, the least shingle of the
-text under one of ANCHORS hash functions. Two texts of similarity s share an anchor with probability s and the segment's key
-with about 0.9, each of ANCHORS times: at 0.8 a pair is missed once in about 2,000. An anchor from a passage that many texts
-share is divided by the segment's key.
-
-Texts with equal shingle sets are one vertex. Under a key with few vertices all pairs are candidates. Under a crowded one
-only pairs with its least vertex are; those that it absorbs leave all keys, and the rest meet again. When nothing more is
-absorbed, what is left of crowded keys is compared in full. Candidates are verified by the Jaccard similarity of their whole
-shingle sets (hashed to 32 bits), and components of verified pairs are the groups.
+by chance, and ever more so in a larger corpus; so a segment's Golay key is joined with an anchor, the least shingles of the
+text under WIDTH hash functions. Two texts of similarity s share an anchor with probability s ** WIDTH and the segment's key
+with about 0.9, each of ANCHORS times: at 0.8 a pair is missed once in about 1,500, at 0.85 once in 20,000. Texts that only
+share a passage seldom share an anchor, and the segment's key divides those that do.
+
+Texts with equal shingle sets are one vertex. Rounds over random blocks of a key's vertices first compare neighbours only, so
+their candidates are no more than the keys' rows however crowded a key is; they join most of a large group. Then all pairs of
+a key whose vertices are still in different components are compared, so no link of candidates is lost. Candidates are
+verified by the Jaccard similarity of their whole shingle sets (hashed to 32 bits), and components of verified pairs are the
+groups.
 """
 
 from __future__ import annotations
@@ -21,14 +22,44 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cueloom.llm.common import materialize
-from cueloom.llm.simhash import PAIRWISE, SEED, SEGMENTS, _anew, components, near_indices
+from cueloom.llm.common import materialize, release_memory, small_batches
+from cueloom.llm.simhash import SEED, SEGMENTS, _anew, components, near_indices
 
-#: Anchors of a text.
-ANCHORS = 6
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
+#: Anchors of a text, and the hash functions of each.
+ANCHORS, WIDTH = 12, 3
+#: Rounds that compare neighbours, and the vertices of a block in them.
+ROUNDS, BLOCK = 1, 256
+
+
+def _odd_multipliers(n: int) -> np.ndarray:
+    state, out = 0x9E3779B97F4A7C15, []
+    for _ in range(n):
+        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+        out.append(state | 1)
+    return np.array(out, dtype=np.uint64)
+
+
+_ODD = _odd_multipliers(ANCHORS * WIDTH)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+
+def anchors_of(hashes: np.ndarray) -> list[int]:
+    """ANCHORS 64-bit values, each of the least of the scrambled hashes under WIDTH multipliers."""
+    if not len(hashes):
+        return [0] * ANCHORS
+    with np.errstate(over="ignore"):
+        least = np.array([(hashes * m).min() for m in _ODD]).reshape(ANCHORS, WIDTH)
+        mixed = least[:, 0]
+        for k in range(1, WIDTH):
+            mixed = _scrambled(mixed * np.uint64(31)) + least[:, k]
+    return _scrambled(mixed).tolist()
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -63,18 +94,18 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                 hashes = shingle_hashes(data, size)
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 fps.append(word_fingerprint(data))
-                with np.errstate(over="ignore"):
-                    anchors.append([int((hashes * m).min()) if len(hashes) else 0 for m in _ODD[:ANCHORS]])
+                anchors.append(anchors_of(hashes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(np.array(anchors, dtype=np.uint64).view(np.int64).reshape(len(fps), -1).tolist(), pa.list_(pa.int64()))],
                 ["id", "digest", "fp", "anchors"],
             )
+        release_memory()
 
     return docs.mapInArrow(run, "id long, digest binary, fp long, anchors array<long>")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, id) of (id, fp, anchors): 6 to 36 rows each."""
+    """(key, id) of (id, fp, anchors): 12 to 72 rows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +117,7 @@ def _keys(classes: DataFrame) -> DataFrame:
                 near = near_indices(((bits >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64))
                 row, col = np.nonzero(near >= 0)
                 with np.errstate(over="ignore"):
-                    mixed = (anchors[row, j] + np.uint64(j)) * _ODD[(j + 1) % ANCHORS] + near[row, col].astype(np.uint64)
-                    mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[0]
+                    mixed = _scrambled((anchors[row, j] + np.uint64(j)) * _ODD[0] + near[row, col].astype(np.uint64))
                 keys.append(mixed.view(np.int64))
                 whose.append(ids[row])
             if keys:
@@ -106,14 +136,13 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 made = [np.unique((shingle_hashes(x.as_py(), size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in part.column(1)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))], ["id", "shingles"])
+        release_memory()
 
     return docs.mapInArrow(run, "id long, shingles array<int>")
 
 
-def _verified(pairs: DataFrame, source: DataFrame, size: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the candidate ``pairs`` whose shingle sets are alike enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
-    sets = materialize(_sets(source.join(wanted, F.col("id") == F.col("w_id"), "left_semi"), size).groupBy("id").agg(F.first("shingles").alias("shingles")))
     left = sets.select(_anew("id").alias("x_id"), F.col("shingles").alias("x"))
     right = sets.select(_anew("id").alias("y_id"), F.col("shingles").alias("y"))
     both = pairs.join(left, F.col("a") == F.col("x_id")).join(right, F.col("b") == F.col("y_id"))
@@ -123,6 +152,20 @@ def _verified(pairs: DataFrame, source: DataFrame, size: int, similarity: float)
     return both.where((F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")) - 1e-9) & alike).select("a", "b")
 
 
+def _neighbours(keyed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): vertices that stand side by side in a random block of one of their keys."""
+    block = F.pmod(F.xxhash64("id", F.lit(turn), F.lit("block")), F.ceil(F.col("n") / BLOCK))
+    order = W.partitionBy("key", "block").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+    rows = keyed.withColumn("block", block).withColumn("before", F.lag("id").over(order)).where("before <> id")
+    return rows.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``comp``, a vertex that all of one value are connected with."""
+    named = roots.select(_anew("v").alias("l_id"), "root")
+    return rows.join(named, F.col("id") == F.col("l_id"), "left").withColumn("comp", F.coalesce("root", "id")).drop("l_id", "root")
+
+
 def near_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, group_id) of every identifier: the least identifier of its group, itself where it is alone.
 
@@ -130,32 +173,27 @@ def near_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", shin
     all; rows that share an identifier are in one group, compared by any one of their texts; null identifiers are left
     out; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(ident).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data")).where("id is not null")
     sketches = materialize(_sketches(source, shingle))
     reps = sketches.groupBy("digest").agg(F.min("id").alias("rep")).select(F.col("digest").alias("r_digest"), "rep")
     classes = materialize(sketches.join(reps, F.col("digest") == F.expr("concat(r_digest, x'')")).select("id", "rep", "fp", "anchors"))
-    live = materialize(_keys(classes.where("id = rep").select("id", "fp", "anchors")).distinct())
-    edges, compared = None, None
-    absorbing = True
-    while True:
-        counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1").select(_anew("key").alias("c_key"), "n", "pivot")
-        sized = materialize(live.join(counts, F.col("key") == F.col("c_key")).select("key", "id", "n", "pivot"))
-        crowded = sized.where(F.col("n") > PAIRWISE)
-        many = absorbing and bool(crowded.take(1))
-        if many:
-            pairs = crowded.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        else:  # small keys, and crowded ones in which nothing was absorbed any more
-            pairs = sized.select("key", F.col("id").alias("a")).join(sized.select(_anew("key").alias("b_key"), F.col("id").alias("b")), (F.col("key") == F.col("b_key")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-        pairs = materialize(pairs if compared is None else pairs.join(compared.select(F.col("a").alias("ca"), F.col("b").alias("cb")), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left_anti"))
-        found = materialize(_verified(pairs, source, shingle, similarity))
-        edges = found if edges is None else edges.union(found)
-        if not many:
-            break
-        compared = pairs if compared is None else materialize(compared.union(pairs))
-        gone = materialize(found.select(F.col("b").alias("g_id")).distinct())
-        absorbing = bool(gone.take(1))
-        live = materialize(sized.select("key", "id").join(gone, F.col("id") == F.col("g_id"), "left_anti"))
-    roots = components(edges)
+    keys = _keys(classes.where("id = rep").select("id", "fp", "anchors")).distinct()
+    crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("key").alias("c_key"), "n")
+    keyed = materialize(keys.join(crowds, F.col("key") == F.col("c_key")).select("key", "id", "n"))
+    wanted = keyed.select(F.col("id").alias("w_id")).distinct()
+    sets = materialize(_sets(source.join(wanted, F.col("id") == F.col("w_id"), "left_semi"), shingle).groupBy("id").agg(F.first("shingles").alias("shingles")))
+    pairs = _neighbours(keyed, 0)
+    for turn in range(1, ROUNDS):
+        pairs = pairs.union(_neighbours(keyed, turn)).distinct()
+    edges = materialize(_verified(pairs, sets, similarity))
+    roots = components(edges, 2)  # what two rounds know to be connected needs no comparison
+    open_ = materialize(_labelled(keyed, roots))
+    mixed = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(_anew("key").alias("m_key"))
+    open_ = open_.join(mixed, F.col("key") == F.col("m_key")).select("key", "id", "comp")
+    other = open_.select(_anew("key").alias("o_key"), F.col("id").alias("b"), F.col("comp").alias("b_comp"))
+    pairs = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("id") < F.col("b")) & (F.col("comp") != F.col("b_comp"))).select(F.col("id").alias("a"), "b").distinct()
+    roots = components(edges.union(materialize(_verified(pairs, sets, similarity))))
     named = classes.select("id", "rep").join(roots, F.col("rep") == F.expr("v ^ 0L"), "left")
     return named.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("group_id"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from cueloom.llm.common import free_name, materialize
+from cueloom.llm.common import free_name, materialize, small_batches
 
 SEED = 42
 #: Fixed value: generator polynomial of the (23, 12) Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -84,6 +84,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle:
     """``docs`` without ``text`` and with ``out``, the fingerprint as a signed long."""
     others = [c for c in docs.columns if c != text]
     name = free_name(others, "_text")
+    small_batches(docs.sparkSession)
     source = docs.select(*others, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias(name))
     schema = T.StructType([*[source.schema[c] for c in others], T.StructField(out, T.LongType(), False)])
 
@@ -149,11 +150,12 @@ def links(classes: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(v, root): for every vertex of ``edges`` (a, b) the least vertex that it reaches.
 
     Alternating large-star and small-star steps until the edges are stars. Every step joins through a sort-merge join,
-    whose crowded keys adaptive execution divides; minima are combined before they are shuffled.
+    whose crowded keys adaptive execution divides; minima are combined before they are shuffled. With ``rounds`` it stops
+    after so many: root is then a lesser vertex that v is connected with, maybe not the least.
     """
     now, before = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct()), None
     while True:
@@ -167,6 +169,11 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, F.col("v") == F.col("c"))
         small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct()
         now = materialize(small)
+        if rounds is not None:
+            rounds -= 1
+            if rounds > 0:
+                continue
+            return now.groupBy("v").agg(F.min("u").alias("root"))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if tuple(seen) == before:
             return now.select("v", F.col("u").alias("root"))
