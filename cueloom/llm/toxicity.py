@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cueloom.llm.common import free_name, materialize, small_batches
+from cueloom.llm.common import free_name, materialize, release_memory, small_batches
 
 #: Labelled rows of each kind that the classifier is fitted on, at most.
 POSITIVES, NEGATIVES = 6_000, 12_000
@@ -295,6 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     order_rows = np.lexsort((*x.T[:64], y))  # the same sums whatever order the rows came in
     weights, intercept = _logistic(x[order_rows], y[order_rows])
     weights = dict(zip(chosen, np.round(weights, 6).tolist(), strict=True))
+    del x, y, held, top
+    release_memory()
     # disguises are of toxic words: their trigrams weigh a quarter as much as the corpus'
     words = [f[:-1] for f, w in weights.items() if f.endswith("=") and w > 0 and f[:-1].isascii() and len(f) > 4]
     own = trigram_counts(words)
