@@ -1,65 +1,41 @@
-"""Near-duplicates at a Jaccard similarity of word shingles, with SimHash fingerprints under Golay keys as the search.
+"""Near-duplicates at a Jaccard similarity of word shingles, found by an exact prefix filter.
 
-The fingerprint here is over a text's distinct words, which few edits change little: texts whose five-word shingles are 0.8
-alike differ in about five of 64 bits. Golay keys of such a distance alone would need thousands of rows a text or would meet
-by chance, and ever more so in a larger corpus; so a segment's Golay key is joined with an anchor, the least shingles of the
-text under WIDTH hash functions. Two texts of similarity s share an anchor with probability s ** WIDTH and the segment's key
-with about 0.9, each of ANCHORS times: at 0.8 a pair is missed once in about 1,500, at 0.85 once in 20,000. Texts that only
-share a passage seldom share an anchor, and the segment's key divides those that do.
+All shingles stand in one order, seldom ones first. Sets of similarity t and more share a shingle among the first
+|x| - ceil(2t / (1 + t) |x|) + 1 of the smaller and the first |y| - ceil(t |y|) + 1 of the larger, so a join on these finds
+every pair, copies with a longer or shorter end included. What can't reach t by its sizes, by the places of the shared
+shingle or by parity bitmaps (sets that differ in n shingles differ in at most n bits) isn't verified; none of the three
+drops a pair of t or more. The order may be any; a sample's frequent shingles come last in it, so that common passages
+seldom become keys.
 
 Texts with equal shingle sets are one vertex. Rounds over random blocks of a key's vertices first compare neighbours only, so
 their candidates are no more than the keys' rows however crowded a key is; they join most of a large group. Then all pairs of
 a key whose vertices are still in different components are compared, so no link of candidates is lost. Candidates are
-verified by the Jaccard similarity of their whole shingle sets (hashed to 32 bits), and components of verified pairs are the
+verified by the Jaccard similarity of their whole shingle sets (64-bit hashes), and components of verified pairs are the
 groups.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cueloom.llm.common import materialize, release_memory, small_batches
-from cueloom.llm.simhash import SEED, SEGMENTS, _anew, components, near_indices
+from cueloom.llm.simhash import SEED, _anew, components
 
-#: Anchors of a text, and the hash functions of each.
-ANCHORS, WIDTH = 12, 3
 #: Rounds that compare neighbours, and the vertices of a block in them.
 ROUNDS, BLOCK = 1, 256
-
-
-def _odd_multipliers(n: int) -> np.ndarray:
-    state, out = 0x9E3779B97F4A7C15, []
-    for _ in range(n):
-        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append(state | 1)
-    return np.array(out, dtype=np.uint64)
-
-
-_ODD = _odd_multipliers(ANCHORS * WIDTH)
-
-
-def _scrambled(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(29))
-
-
-def anchors_of(hashes: np.ndarray) -> list[int]:
-    """ANCHORS 64-bit values, each of the least of the scrambled hashes under WIDTH multipliers."""
-    if not len(hashes):
-        return [0] * ANCHORS
-    with np.errstate(over="ignore"):
-        least = np.array([(hashes * m).min() for m in _ODD]).reshape(ANCHORS, WIDTH)
-        mixed = least[:, 0]
-        for k in range(1, WIDTH):
-            mixed = _scrambled(mixed * np.uint64(31)) + least[:, k]
-    return _scrambled(mixed).tolist()
+#: The share of texts whose shingles are counted for the order, the least count there, and the most shingles put last.
+SAMPLE, LEAST, FREQUENT = 16, 4, 65_536
+#: Vertices up to which they are broadcast to find their texts.
+FEW = 500_000
+#: Longs of a parity bitmap, one bit for each value of a hash's upper byte.
+BITMAP = ("b0", "b1", "b2", "b3")
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -74,128 +50,152 @@ def shingle_hashes(data: bytes, size: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), dtype=np.uint64))
 
 
-def word_fingerprint(data: bytes) -> int:
-    """SimHash over distinct words."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(data.lower().split())), dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for low in range(0, len(hashes), 16384):
-        counts += np.unpackbits(hashes[low : low + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+def _vertex(hashes: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little")
 
 
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(id, digest, fp, anchors) of (id, data)."""
+def _heads(docs: DataFrame, size: int) -> DataFrame:
+    """(id, v, bitmap) of (id, data): v is a digest of the shingle set, its vertex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, fps, anchors = [], [], []
-            for value in batch.column(1):
-                data = value.as_py()
-                hashes = shingle_hashes(data, size)
-                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-                fps.append(word_fingerprint(data))
-                anchors.append(anchors_of(hashes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(np.array(anchors, dtype=np.uint64).view(np.int64).reshape(len(fps), -1).tolist(), pa.list_(pa.int64()))],
-                ["id", "digest", "fp", "anchors"],
-            )
+            made = [shingle_hashes(x.as_py(), size) for x in batch.column(1)]
+            vertices = np.array([_vertex(x) for x in made], dtype=np.uint64).view(np.int64)
+            parity = np.array([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) & 1 for x in made], dtype=np.uint8).reshape(-1, 256)
+            bitmaps = np.packbits(parity, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vertices), *[pa.array(np.ascontiguousarray(bitmaps[:, k])) for k in range(4)]], ["id", "v", *BITMAP])
         release_memory()
 
-    return docs.mapInArrow(run, "id long, digest binary, fp long, anchors array<long>")
+    return docs.mapInArrow(run, f"id long, v long, {', '.join(f'{b} long' for b in BITMAP)}")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(key, id) of (id, fp, anchors): 12 to 72 rows each."""
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(v, shingles) of (id, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bits = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            anchors = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
-            keys, whose = [], []
-            for j in range(anchors.shape[1] if len(ids) else 0):
-                at, width = SEGMENTS[j % len(SEGMENTS)]
-                near = near_indices(((bits >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64))
-                row, col = np.nonzero(near >= 0)
-                with np.errstate(over="ignore"):
-                    mixed = _scrambled((anchors[row, j] + np.uint64(j)) * _ODD[0] + near[row, col].astype(np.uint64))
-                keys.append(mixed.view(np.int64))
-                whose.append(ids[row])
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(whose))], ["key", "id"])
-
-    return classes.mapInArrow(run, "key long, id long")
+            for low in range(0, batch.num_rows, 256):
+                made = [shingle_hashes(x.as_py(), size) for x in batch.column(1).slice(low, 256)]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
+                vertices = np.array([_vertex(x) for x in made], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made).view(np.int64)))], ["v", "shingles"])
+        release_memory()
 
+    return docs.mapInArrow(run, "v long, shingles array<long>")
+
+
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of texts, ascending, and their counts. They change speed only."""
+    sample = _sets(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), size).select(F.explode("shingles").alias("h"))
+    rows = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    hashes, counts = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of ascending ``hashes`` in the common order, as many as a probe needs."""
+    if not len(hashes):
+        return hashes
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        n = np.where(frequent[at] == hashes, counts[at], 0)
+        if n.any():
+            hashes = hashes[np.argsort(n, kind="stable")]
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of (id, data); the shingle hashes' upper 32 bits, distinct."""
+
+def _keys(docs: DataFrame, size: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(key, v, pos, size) of (id, data): the prefix of every set, with the places of its shingles and the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                made = [np.unique((shingle_hashes(x.as_py(), size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in part.column(1)]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))], ["id", "shingles"])
+                whole = [shingle_hashes(x.as_py(), size) for x in batch.column(1).slice(low, 256)]
+                made = [prefix(x, similarity, frequent, counts) for x in whole]
+                rows = [len(x) for x in made]
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in rows])
+                vertices = np.repeat(np.array([_vertex(x) for x in whole], dtype=np.uint64).view(np.int64), rows)
+                sizes = np.repeat(np.array([len(x) for x in whole], dtype=np.int32), rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(vertices), pa.array(places), pa.array(sizes)], ["key", "v", "pos", "size"])
         release_memory()
 
-    return docs.mapInArrow(run, "id long, shingles array<int>")
+    return docs.mapInArrow(run, "key long, v long, pos int, size int")
+
+
+def _possible(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
+    """Whether sets that share a shingle at places ``pos`` may be alike enough; never false for those that are."""
+    least = similarity / (1 + similarity) * (x["size"] + y["size"])  # what they must share
+    most = F.least(x["pos"], y["pos"]) + F.least(x["size"] - x["pos"], y["size"] - y["pos"])
+    may = (F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-9) & (most >= least - 1e-9)
+    if "b0" in x:
+        may &= sum((F.bit_count(x[b].bitwiseXOR(y[b])) for b in BITMAP), F.lit(0)) <= x["size"] + y["size"] - 2 * least + 1e-9
+    return may
+
+
+def _wanted(rows: DataFrame, at: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose ``at`` is a ``name`` of ``wanted`` (checkpointed); where these are few the rows aren't shuffled."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, F.col(at) == F.col(name), "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the candidate ``pairs`` whose shingle sets are alike enough."""
-    left = sets.select(_anew("id").alias("x_id"), F.col("shingles").alias("x"))
-    right = sets.select(_anew("id").alias("y_id"), F.col("shingles").alias("y"))
-    both = pairs.join(left, F.col("a") == F.col("x_id")).join(right, F.col("b") == F.col("y_id"))
+def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b) of the candidate ``pairs`` (checkpointed) whose shingle sets are alike enough."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("w_v")).distinct())
+    ids = materialize(_wanted(heads, "v", wanted, "w_v").groupBy("v").agg(F.min("id").alias("w_id")).select("w_id").distinct())
+    sets = materialize(_sets(_wanted(docs, "id", ids, "w_id"), size).groupBy("v").agg(F.first("shingles").alias("shingles")))
+    left = sets.select(_anew("v").alias("x_v"), F.col("shingles").alias("x"))
+    right = sets.select(_anew("v").alias("y_v"), F.col("shingles").alias("y"))
+    both = pairs.join(left, F.col("a") == F.col("x_v")).join(right, F.col("b") == F.col("y_v"))
     shared = F.size(F.array_intersect("x", "y"))
-    alike = shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9
-    # sets of sizes too far apart aren't intersected
-    return both.where((F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")) - 1e-9) & alike).select("a", "b")
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def _neighbours(keyed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): vertices that stand side by side in a random block of one of their keys."""
-    block = F.pmod(F.xxhash64("id", F.lit(turn), F.lit("block")), F.ceil(F.col("n") / BLOCK))
-    order = W.partitionBy("key", "block").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-    rows = keyed.withColumn("block", block).withColumn("before", F.lag("id").over(order)).where("before <> id")
-    return rows.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()
+def _neighbours(keyed: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b): vertices that stand side by side in a random block of one of their keys and may be alike enough."""
+    block = F.pmod(F.xxhash64("v", F.lit(turn), F.lit("block")), F.ceil(F.col("n") / BLOCK))
+    order = W.partitionBy("key", "block").orderBy(F.xxhash64("v", F.lit(turn)), "v")
+    rows = keyed.withColumn("block", block).withColumn("before", F.lag(F.struct("v", "pos", "size")).over(order)).where("before is not null")
+    rows = rows.where(_possible({n: F.col(n) for n in ("pos", "size")}, {n: F.col("before")[n] for n in ("pos", "size")}, similarity))
+    return rows.select(F.least("v", "before.v").alias("a"), F.greatest("v", "before.v").alias("b")).distinct()
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` with ``comp``, a vertex that all of one value are connected with."""
-    named = roots.select(_anew("v").alias("l_id"), "root")
-    return rows.join(named, F.col("id") == F.col("l_id"), "left").withColumn("comp", F.coalesce("root", "id")).drop("l_id", "root")
+    named = roots.select(_anew("v").alias("l_v"), "root")
+    return rows.join(named, F.col("v") == F.col("l_v"), "left").withColumn("comp", F.coalesce("root", "v")).drop("l_v", "root")
 
 
 def near_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, group_id) of every identifier: the least identifier of its group, itself where it is alone.
 
     Defined cases: null and empty texts and texts without words are alike; fewer words than a shingle make one shingle of
-    all; rows that share an identifier are in one group, compared by any one of their texts; null identifiers are left
-    out; an empty table gives an empty table.
+    all; rows that share an identifier get the least group of their texts; null identifiers are left out; an empty table
+    gives an empty table.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(ident).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data")).where("id is not null")
-    sketches = materialize(_sketches(source, shingle))
-    reps = sketches.groupBy("digest").agg(F.min("id").alias("rep")).select(F.col("digest").alias("r_digest"), "rep")
-    classes = materialize(sketches.join(reps, F.col("digest") == F.expr("concat(r_digest, x'')")).select("id", "rep", "fp", "anchors"))
-    keys = _keys(classes.where("id = rep").select("id", "fp", "anchors")).distinct()
-    crowds = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("key").alias("c_key"), "n")
-    keyed = materialize(keys.join(crowds, F.col("key") == F.col("c_key")).select("key", "id", "n"))
-    wanted = keyed.select(F.col("id").alias("w_id")).distinct()
-    sets = materialize(_sets(source.join(wanted, F.col("id") == F.col("w_id"), "left_semi"), shingle).groupBy("id").agg(F.first("shingles").alias("shingles")))
-    pairs = _neighbours(keyed, 0)
+    heads = materialize(_heads(source, shingle))
+    key = W.partitionBy("key")
+    met = _keys(source, shingle, similarity, *_frequent(source, shingle)).withColumns({"low": F.min("v").over(key), "high": F.max("v").over(key)})
+    keyed = materialize(met.where("low < high").drop("low", "high").dropDuplicates(["key", "v"]).withColumn("n", F.count(F.lit(1)).over(key)))
+    pairs = _neighbours(keyed, 0, similarity)
     for turn in range(1, ROUNDS):
-        pairs = pairs.union(_neighbours(keyed, turn)).distinct()
-    edges = materialize(_verified(pairs, sets, similarity))
+        pairs = pairs.union(_neighbours(keyed, turn, similarity)).distinct()
+    edges = materialize(_verified(materialize(pairs), source, heads, shingle, similarity))
     roots = components(edges, 2)  # what two rounds know to be connected needs no comparison
-    open_ = materialize(_labelled(keyed, roots))
-    mixed = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(_anew("key").alias("m_key"))
-    open_ = open_.join(mixed, F.col("key") == F.col("m_key")).select("key", "id", "comp")
-    other = open_.select(_anew("key").alias("o_key"), F.col("id").alias("b"), F.col("comp").alias("b_comp"))
-    pairs = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("id") < F.col("b")) & (F.col("comp") != F.col("b_comp"))).select(F.col("id").alias("a"), "b").distinct()
-    roots = components(edges.union(materialize(_verified(pairs, sets, similarity))))
-    named = classes.select("id", "rep").join(roots, F.col("rep") == F.expr("v ^ 0L"), "left")
-    return named.groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("group_id"))
+    open_ = _labelled(keyed.drop("n"), roots).withColumns({"low": F.min("comp").over(key), "high": F.max("comp").over(key)}).where("low < high").drop("low", "high")
+    bitmaps = heads.select(_anew("v").alias("h_v"), *BITMAP).dropDuplicates(["h_v"])
+    open_ = materialize(open_.join(bitmaps, F.col("v") == F.col("h_v")).drop("h_v"))
+    small = open_.where(F.col("pos") <= F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-9))
+    large = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
+    names = ("pos", "size", *BITMAP)
+    ordered = (F.col("size") < F.col("o_size")) | ((F.col("size") == F.col("o_size")) & (F.col("v") < F.col("o_v")))
+    may = _possible({n: F.col(n) for n in names}, {n: F.col(f"o_{n}") for n in names}, similarity)
+    pairs = small.join(large, (F.col("key") == F.col("o_key")) & (F.col("comp") != F.col("o_comp")) & ordered & may).select(F.least("v", "o_v").alias("a"), F.greatest("v", "o_v").alias("b")).distinct()
+    roots = components(edges.union(materialize(_verified(materialize(pairs), source, heads, shingle, similarity))))
+    rows = materialize(_labelled(heads.select("id", "v"), roots))
+    least = rows.groupBy("comp").agg(F.min("id").alias("least")).select(_anew("comp").alias("g_comp"), "least")
+    return rows.join(least, F.col("comp") == F.col("g_comp")).groupBy("id").agg(F.min("least").alias("group_id"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

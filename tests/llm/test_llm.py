@@ -410,6 +410,44 @@ def test_crowds_of_near_copies_lose_no_link(spark, monkeypatch, rounds):
     assert len(links) > 300 and all(got[i] == got[j] for i, j in links)
 
 
+def test_near_dedup_finds_appended_and_truncated_copies(spark):
+    some, texts = random.Random(21), []
+    for n in (100, 400):
+        for _ in range(150):
+            words = [f"w{some.randrange(10**6)}" for _ in range(n)]
+            tail = [f"t{some.randrange(10**6)}" for _ in range(some.randrange(int(n * 0.17), int(n * 0.24)))]
+            texts += [" ".join(words), " ".join(words + tail), " ".join(words[: -some.randrange(int(n * 0.14), int(n * 0.19))])]
+    got = {r.id: r.group_id for r in near_dedup.near_groups(documents(spark, texts)).collect()}
+    sets = [set(near_dedup.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    pairs = [(i, j) for k in range(0, len(texts), 3) for i, j in itertools.combinations(range(k, k + 3), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    for _ in range(2):
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    assert len(pairs) > 400 and [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("sample, frequent", [(1, 10**5), (1, 7), (10**9, 7)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, sample, frequent):
+    monkeypatch.setattr(near_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(near_dedup, "FREQUENT", frequent)
+    some, texts = random.Random(22), []
+    common = [f"c{k}" for k in range(40)]
+    for _ in range(40):
+        words = [f"w{some.randrange(300)}" for _ in range(some.randrange(3, 80))] + (common if some.random() < 0.5 else [])
+        for _ in range(4):
+            at, cut = some.randrange(len(words)), some.randrange(0, 1 + len(words) // 8)
+            texts.append(" ".join(words[:at] + words[at + cut :] + [f"e{some.randrange(99)}"] * some.randrange(0, 6)))
+    got = {r.id: r.group_id for r in near_dedup.near_groups(documents(spark, texts)).collect()}
+    sets = [set(near_dedup.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert [got[i] for i in range(len(texts))] == root and len(set(root)) < len(root) - 20
+
+
 # 8
 
 
