@@ -343,9 +343,9 @@ def rarest_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.anchored(_shared_forms(spark, sf_dir)).select("pos", "form_pos", "anchor")
 
 
-def _track_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Cues of every 20th track, their translation, and the shared terms as each track's glossary and decisions."""
-    cues = V.cues(spark, sf_dir).where("track_id % 20 = 3")
+def _track_terms(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cues of every 20th track, or of all with ``whole``, their translation, and the shared terms as each track's glossary and decisions."""
+    cues = V.cues(spark, sf_dir).where("true" if whole else "track_id % 20 = 3")
     shared = V.terms(spark, sf_dir).withColumn("project", F.lit(1))
     tracks = cues.select("track_id").distinct().withColumn("project", F.lit(1))
     mine = T.for_tracks(shared, tracks)
@@ -354,6 +354,8 @@ def _track_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return cues, V.translated(cues), mine.where("scope = 'project'"), decisions
 
 
+#: What narrows the SQL of the terminology queries to every 20th track.
+SOME_TRACKS = " WHERE track_id % 20 = 3"
 TRACK_TERM = """,
 dec AS (SELECT pos, CASE WHEN pos % 7 = 0 THEN upper(en) ELSE en END AS en, upper(target) AS target FROM term WHERE scope = 'job' OR pos % 7 = 0),
 pform AS (SELECT * FROM form WHERE scope = 'project'),
@@ -361,12 +363,21 @@ covered AS (SELECT pos, count(*) AS c FROM pform p WHERE exact_case AND EXISTS (
 active AS (SELECT * FROM pform WHERE pos NOT IN (SELECT pos FROM covered JOIN (SELECT pos, count(*) AS n FROM pform GROUP BY pos) USING (pos) WHERE c = n))"""
 
 
-@query("term_shadowing", _with(TERM, TRACK_TERM) + "SELECT c.track_id, a.pos, a.en, false AS is_job FROM (SELECT DISTINCT track_id FROM cue WHERE track_id % 20 = 3) c, (SELECT DISTINCT pos, en FROM active) a UNION ALL SELECT c.track_id, d.pos, d.en, true FROM (SELECT DISTINCT track_id FROM cue WHERE track_id % 20 = 3) c, dec d")
+SHADOWING_SQL = _with(TERM, TRACK_TERM) + "SELECT c.track_id, a.pos, a.en, false AS is_job FROM (SELECT DISTINCT track_id FROM cue WHERE track_id % 20 = 3) c, (SELECT DISTINCT pos, en FROM active) a UNION ALL SELECT c.track_id, d.pos, d.en, true FROM (SELECT DISTINCT track_id FROM cue WHERE track_id % 20 = 3) c, dec d"
+
+
+@query("term_shadowing", SHADOWING_SQL)
 def term_shadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, glossary, decisions = _track_terms(spark, sf_dir)
     return T.active_terms(glossary, decisions).select("track_id", "pos", "en", "is_job")
 
 
+@query("term_shadowing_whole", SHADOWING_SQL.replace(SOME_TRACKS, ""))
+def term_shadowing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, glossary, decisions = _track_terms(spark, sf_dir, whole=True)
+    return T.active_terms(glossary, decisions).select("track_id", "pos", "en", "is_job")
+
+
 MISSING_SQL = (
     _with(TERM, TRACK_TERM, ", " + OTHER.lstrip(",\n"))
     + """, mine AS (SELECT * FROM cue WHERE track_id % 20 = 3), words AS (SELECT track_id, cue, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS tok FROM mine),
@@ -385,10 +396,16 @@ def missing_active_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Term words as one track's candidates that cite cues pos % 9 + 1 and pos; decisions for all but each fifth."""
-    cues = V.cues(spark, sf_dir).where("track_id = 3")
-    base = V.terms(spark, sf_dir).withColumn("track_id", F.lit(3).cast("long"))
+@query("missing_active_terms_whole", MISSING_SQL.replace(SOME_TRACKS, ""))
+def missing_active_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.missing_terms(*_track_terms(spark, sf_dir, whole=True))
+    return found.select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Term words as the candidates of one track, or of each with ``whole``, that cite cues pos % 9 + 1 and pos; decisions for all but each fifth."""
+    cues = V.cues(spark, sf_dir).where("true" if whole else "track_id = 3")
+    base = T.for_tracks(V.terms(spark, sf_dir).withColumn("project", F.lit(1)), cues.select("track_id").distinct().withColumn("project", F.lit(1))) if whole else V.terms(spark, sf_dir).withColumn("track_id", F.lit(3).cast("long"))
     cited = base.withColumn("cues", F.array((F.col("pos") % 9 + 1).cast("int"), F.col("pos").cast("int")))
     decided = base.where("pos % 5 <> 0").withColumns({"approval": F.when(F.col("pos") % 6 == 0, "review-required").otherwise("approved"), "aliases": F.when(F.col("pos") % 8 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.col("aliases"))})
     return cited, decided, cues
@@ -408,6 +425,21 @@ def candidate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.candidate_issues(*_candidates(spark, sf_dir)).select("severity", "code", "cue", F.col("details")["en"].alias("en"))
 
 
+@query(
+    "candidate_issues_whole",
+    _with(TERM)
+    + """, tracks AS (SELECT DISTINCT track_id FROM cue), cited AS (SELECT DISTINCT track_id, pos, en, unnest([pos % 9 + 1, pos]) AS c FROM term, tracks),
+    located AS (SELECT d.*, m.cue IS NOT NULL AS there FROM cited d LEFT JOIN cue m ON m.track_id = d.track_id AND m.cue = d.c), ev AS (SELECT DISTINCT track_id, pos, cue FROM hit),
+    unsettled AS (SELECT en, CASE WHEN pos % 5 = 0 OR (pos % 8 = 0 AND len(aliases) > 0 AND exact_case) THEN 'candidate_without_decision' ELSE 'term_unresolved' END AS code FROM term
+                  WHERE pos % 5 = 0 OR (pos % 8 = 0 AND len(aliases) > 0 AND exact_case) OR pos % 6 = 0)
+    SELECT track_id, 'error' AS severity, 'term_candidate_range' AS code, CAST(NULL AS INT) AS cue, en FROM located WHERE NOT there
+    UNION ALL SELECT l.track_id, 'error', 'term_candidate_evidence', CAST(c AS INT), en FROM located l LEFT JOIN ev ON ev.track_id = l.track_id AND ev.pos = l.pos AND ev.cue = l.c WHERE there AND ev.pos IS NULL
+    UNION ALL SELECT track_id, 'error', code, NULL, en FROM unsettled, tracks""",
+)
+def candidate_issues_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.candidate_issues(*_candidates(spark, sf_dir, whole=True)).select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
+
+
 @query("application_issues", _with(TERM) + "SELECT 'project_term_not_applied' AS code, en FROM term WHERE scope = 'project' AND pos % 5 <> 0 AND pos % 6 <> 0 AND pos % 9 = 0")
 def application_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, decided, _ = _candidates(spark, sf_dir)
