@@ -248,6 +248,16 @@ def json3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.read_json3(bodies, most_seconds=1e9).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
 
 
+@query("json3_scan_whole")
+def json3_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of every length as events of two segments, under the reader's own limits; checked against brute force in the tests."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    segs = F.array(F.struct(F.substr("text", F.lit(1), half).alias("utf8")), F.struct(F.substr(F.col("text"), half + 1, F.length("text")).alias("utf8")))
+    event = F.struct(F.col("start_ms").alias("tStartMs"), (F.col("end_ms") - F.col("start_ms")).alias("dDurationMs"), segs.alias("segs"))
+    bodies = V.cues(spark, sf_dir).groupBy("track_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("cue", event.alias("e")))), lambda x: x["e"]).alias("events"))).alias("body"))
+    return captions.read_json3(bodies).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
+
+
 @query("json3_split")
 def json3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as single events, so that the splitter works; checked against brute force in the tests."""
@@ -560,12 +570,24 @@ def review_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reused(R.batches(cues, other, 10), R.batches(before, other, 10), coverage).drop("input")
 
 
-@query("word_timing", _with() + """, w AS (SELECT track_id, cue, start_ms, end_ms, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS k FROM cue WHERE length(text) <= 300)
+WORDS_SQL = (_with() + """, w AS (SELECT track_id, cue, start_ms, end_ms, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS k FROM cue WHERE length(text) <= 300)
     SELECT track_id, CAST(cue AS INT) AS cue, CAST(k AS INT) AS k, word, round(start_ms + (end_ms - start_ms) * (sum(length(word)) OVER (PARTITION BY track_id, cue ORDER BY k) - length(word)) / sum(length(word)) OVER (PARTITION BY track_id, cue)::DOUBLE, 3) AS at_ms FROM w""")
+
+
+@query("word_timing", WORDS_SQL)
 def word_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_times(V.cues(spark, sf_dir).where(F.length("text") <= 300))
+
+
+@query("word_timing_whole", WORDS_SQL.replace(" WHERE length(text) <= 300", ""))
+def word_timing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_times(V.cues(spark, sf_dir))
+
+
+def _word_times(cues: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
-    words = V.cues(spark, sf_dir).where(F.length("text") <= 300).select("track_id", "cue", "start_ms", "end_ms", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("k", "word"))
+    words = cues.select("track_id", "cue", "start_ms", "end_ms", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("k", "word"))
     whole = W.partitionBy("track_id", "cue")
     before = F.sum(F.length("word")).over(whole.orderBy("k")) - F.length("word")
     at = F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * before / F.sum(F.length("word")).over(whole).cast("double")
