@@ -605,8 +605,8 @@ def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _readable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sentences of documents in turn as cues for the segmentation: those of up to 300 characters."""
-    rows = V.cues(spark, sf_dir).select("track_id", F.col("cue").alias("line"), F.posexplode(F.split("text", r"(?<=[.]) ", -1)).alias("k", "text")).where(F.length("text").between(1, 300))
+    """Sentences of documents in turn as cues for the segmentation, of any length."""
+    rows = V.cues(spark, sf_dir).select("track_id", F.col("cue").alias("line"), F.posexplode(F.split("text", r"(?<=[.]) ", -1)).alias("k", "text")).where("text <> ''")
     from pyspark.sql import Window as W
 
     number = F.row_number().over(W.partitionBy("track_id").orderBy("line", "k"))
