@@ -466,11 +466,11 @@ def latin_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(L.latin_issues(cues, targets))
 
 
-def _raw_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as a raw glossary: names of parts, with repeats among them."""
+def _raw_terms(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Parts, the first 300 or with ``whole`` all, as a raw glossary: names of parts, with repeats among them."""
     parts = V.table(spark, sf_dir, "part")
     none = F.lit(None).cast("string")
-    return parts.where("p_partkey <= 300").select(
+    return parts.where("true" if whole else "p_partkey <= 300").select(
         F.floor(F.col("p_partkey") / 100).cast("long").alias("track_id"), F.col("p_partkey").alias("pos"), none.alias("id"), F.concat(F.lit("  "), F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("en"),
         F.array(F.concat(F.col("p_name"), F.lit(" ")), F.upper("p_name"), F.col("p_name")).alias("aliases"), F.when(F.col("p_partkey") % 2 == 0, F.lit(False)).alias("case_sensitive"), F.when(F.col("p_partkey") % 10 != 0, F.lower("p_name")).alias("target"),
         none.alias("category"), none.alias("approval"), none.alias("scope"), none.alias("status"), F.when(F.col("p_partkey") % 3 == 0, "because").alias("rationale"),
@@ -508,6 +508,31 @@ def glossary_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track_id", "severity", F.col("details")["reason"].alias("reason"), F.col("seq").cast("long").alias("seq"))
 
 
+#: What narrows the SQL of the raw glossary to 300 parts.
+SOME_PARTS = " WHERE p_partkey <= 300"
+
+
+@query("normalised_terms_whole", ORACLES["normalised_terms"].replace(SOME_PARTS, ""))
+def normalised_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.normalised_terms(_raw_terms(spark, sf_dir, whole=True)).select("track_id", "pos", "id", "en", F.array_join("aliases", "|").alias("aliases"), "case_sensitive", "code")
+
+
+@query("form_conflicts_whole", ORACLES["form_conflicts"].replace(SOME_PARTS, ""))
+def form_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.form_conflicts(G.normalised_terms(_raw_terms(spark, sf_dir, whole=True)))
+
+
+@query("term_ids_whole", ORACLES["term_ids"].replace(SOME_PARTS, ""))
+def term_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.term_ids(_raw_terms(spark, sf_dir, whole=True))
+
+
+@query("glossary_lint_whole", ORACLES["glossary_lint"].replace(SOME_PARTS, ""))
+def glossary_lint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.lint(G.normalised_terms(_raw_terms(spark, sf_dir, whole=True)))
+    return found.select("track_id", "severity", F.col("details")["reason"].alias("reason"), F.col("seq").cast("long").alias("seq"))
+
+
 def _merge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nations as glossary, nations and regions as decisions: new targets for odd nations, regions added."""
     nation, region = V.table(spark, sf_dir, "nation"), V.table(spark, sf_dir, "region")
