@@ -5,12 +5,12 @@ Each stage works on the rows that its predecessor kept; all but the last return
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cueloom.llm import bpe, exact_dedup, mixing, near_dedup, queries, toxicity
+from cueloom.llm.common import shared_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, in order; each is written as Parquet to the checkpoint folder and read again."""
-    place = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='cueloom-')}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")

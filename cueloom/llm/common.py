@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,19 +24,46 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    The rows survive the loss of any executor. Only where the session names no folder (a local test) is a
-    temporary one chosen.
+    Only a local session may do without: it gets a temporary one. On a cluster that would be another disk on each machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    if place := spark.conf.get("spark.checkpoint.dir", None):
+        return place
+    if held := spark.sparkContext.getCheckpointDir():
+        return held
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='cueloom-')}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: its rows survive the loss of any executor."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cueloom-ck-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables, written as Parquet to the shared folder: compressed, and of a size that the planner knows."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.place, self.kept = spark, f"{shared_folder(spark)}/cueloom-{uuid.uuid4().hex}", 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.kept += 1
+        path = f"{self.place}/{self.kept}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_all_but_last(self) -> None:
+        for k in range(1, self.kept):
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{k}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 8 MB at most for this session: a Python worker and the JVM hold one each for every column set."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")

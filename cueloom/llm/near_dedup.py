@@ -1,17 +1,21 @@
-"""Near-duplicates at a Jaccard similarity of word shingles, found by an exact prefix filter.
-
-All shingles stand in one order, seldom ones first. Sets of similarity t and more share a shingle among the first
-|x| - ceil(2t / (1 + t) |x|) + 1 of the smaller and the first |y| - ceil(t |y|) + 1 of the larger, so a join on these finds
-every pair, copies with a longer or shorter end included. What can't reach t by its sizes, by the places of the shared
-shingle or by parity bitmaps (sets that differ in n shingles differ in at most n bits) isn't verified; none of the three
-drops a pair of t or more. The order may be any; a sample's frequent shingles come last in it, so that common passages
-seldom become keys.
-
-Texts with equal shingle sets are one vertex. Rounds over random blocks of a key's vertices first compare neighbours only, so
-their candidates are no more than the keys' rows however crowded a key is; they join most of a large group. Then all pairs of
-a key whose vertices are still in different components are compared, so no link of candidates is lost. Candidates are
-verified by the Jaccard similarity of their whole shingle sets (64-bit hashes), and components of verified pairs are the
-groups.
+"""Near-duplicates at a Jaccard similarity of word shingles: Golay-code links first, then an exact filter for all the rest.
+
+Candidates. Every text has a sketch, its SKETCH least shingle hashes. Texts of similarity t share nearly t of the least hashes
+of their union, so those that have fewer than a threshold's worth of their sketch in other sketches are alone; the threshold
+loses a pair with a probability of LOST at most (texts shorter than the sketch: none). For the others, whole shingle sets
+are made, and shingles that stand in one of these sets only are dropped and counted: nobody shares them.
+
+Links. The SimHash fingerprints of the candidates go through the Golay-code links of :mod:`simhash`. They find copies with
+few differences; those of similarity t may differ in a sixth of all bits, which no keys of 64-bit fingerprints find without
+loss. So shingles are put in one order, seldom ones first, and sets of similarity t and more share one of their first
+|x| - ceil(t |x|) + 1 - that is, one of the few that remain there beside the dropped ones - whatever the difference is.
+Rounds compare, under each such key, vertices that stand side by side in an order by minima of hashed shingles, one partner
+for each vertex, and connected ones become one component. At last all pairs of a key whose vertices are in
+different components meet in a join whose condition holds what similarity t allows: sizes, dropped shingles on both sides,
+and parity bitmaps of the others (sets that differ in n shingles differ in at most n bits). None of these turns down
+a pair of t or more, and what passes is verified on the whole sets. Components of verified pairs are the groups.
+
+Texts with equal shingle sets are one vertex.
 """
 
 from __future__ import annotations
@@ -25,17 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cueloom.llm.common import materialize, release_memory, small_batches
-from cueloom.llm.simhash import SEED, _anew, components
+from cueloom.llm.common import Scratch, release_memory, small_batches
+from cueloom.llm.simhash import SEED, _anew, components, fingerprint, links
 
+#: Shingles of a sketch, and the probability with which it may miss a pair at the similarity asked for.
+SKETCH, LOST = 64, 1e-11
 #: Rounds that compare neighbours, and the vertices of a block in them.
-ROUNDS, BLOCK = 1, 256
-#: The share of texts whose shingles are counted for the order, the least count there, and the most shingles put last.
-SAMPLE, LEAST, FREQUENT = 16, 4, 65_536
-#: Vertices up to which they are broadcast to find their texts.
-FEW = 500_000
-#: Longs of a parity bitmap, one bit for each value of a hash's upper byte.
-BITMAP = ("b0", "b1", "b2", "b3")
+ROUNDS, BLOCK = 4, 256
+#: Longs of a parity bitmap, one bit for each value of a hash's upper byte; orders of minima.
+BITMAP, ORDERS = ("b0", "b1", "b2", "b3"), 16
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -50,155 +52,236 @@ def shingle_hashes(data: bytes, size: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), dtype=np.uint64))
 
 
-def _vertex(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little")
+def least_shared(similarity: float) -> int:
+    """Of a full sketch, how many shingles two texts of this similarity share but for a chance of LOST."""
+    below = 0.0
+    for s in range(SKETCH + 1):
+        below += math.comb(SKETCH, s) * similarity**s * (1 - similarity) ** (SKETCH - s)
+        if below > LOST:
+            return s
+    return SKETCH
 
 
-def _heads(docs: DataFrame, size: int) -> DataFrame:
-    """(id, v, bitmap) of (id, data): v is a digest of the shingle set, its vertex."""
+def _lists(made: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*made, np.empty(0, dtype=np.uint64)]).view(np.int64)))
+
+
+def _heads(source: DataFrame, size: int) -> DataFrame:
+    """(id, mark, n, digest, sketch) of (id, mark, data): the size of every shingle set, its digest and its least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_hashes(x.as_py(), size) for x in batch.column(1)]
-            vertices = np.array([_vertex(x) for x in made], dtype=np.uint64).view(np.int64)
-            parity = np.array([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) & 1 for x in made], dtype=np.uint8).reshape(-1, 256)
-            bitmaps = np.packbits(parity, axis=1, bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vertices), *[pa.array(np.ascontiguousarray(bitmaps[:, k])) for k in range(4)]], ["id", "v", *BITMAP])
+            n, digests, least = [], [], []
+            for x in batch.column(2):
+                made = shingle_hashes(x.as_py(), size)
+                n.append(len(made))
+                digests.append(hashlib.blake2b(made.tobytes(), digest_size=16).digest())
+                least.append(made[:SKETCH].copy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), _lists(least)], ["id", "mark", "n", "digest", "sketch"])
         release_memory()
 
-    return docs.mapInArrow(run, f"id long, v long, {', '.join(f'{b} long' for b in BITMAP)}")
+    return source.mapInArrow(run, "id long, mark long, n int, digest binary, sketch array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(v, shingles) of (id, data)."""
+def _sets(source: DataFrame, size: int) -> DataFrame:
+    """(v, n, fp, shingles) of (v, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                made = [shingle_hashes(x.as_py(), size) for x in batch.column(1).slice(low, 256)]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
-                vertices = np.array([_vertex(x) for x in made], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made).view(np.int64)))], ["v", "shingles"])
+                texts = [x.as_py() for x in batch.column(1).slice(low, 256)]
+                made = [shingle_hashes(x, size) for x in texts]
+                marks = np.array([fingerprint(x, size) for x in texts], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, 256), pa.array([len(x) for x in made], pa.int32()), pa.array(marks), _lists(made)], ["v", "n", "fp", "shingles"])
         release_memory()
 
-    return docs.mapInArrow(run, "v long, shingles array<long>")
+    return source.mapInArrow(run, "v long, n int, fp long, shingles array<long>")
 
 
-def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of texts, ascending, and their counts. They change speed only."""
-    sample = _sets(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), size).select(F.explode("shingles").alias("h"))
-    rows = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    hashes, counts = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+def _minima(hashes: np.ndarray) -> list[int]:
+    out = []
+    for turn in range(1, ORDERS + 1):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * turn % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(int((mixed ^ (mixed >> np.uint64(31))).min().view(np.int64)))
+    return out
 
 
-def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of ascending ``hashes`` in the common order, as many as a probe needs."""
-    if not len(hashes):
-        return hashes
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        n = np.where(frequent[at] == hashes, counts[at], 0)
-        if n.any():
-            hashes = hashes[np.argsort(n, kind="stable")]
-    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+def _live(shared: DataFrame, similarity: float) -> DataFrame:
+    """(v, n, u, k, fp, bitmap, minima, shingles) of (v, n, fp, held): sets some of whose first shingles others have.
 
-
-def _keys(docs: DataFrame, size: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(key, v, pos, size) of (id, data): the prefix of every set, with the places of its shingles and the set's size."""
+    held has (df, h) for every shingle that two sets or more have. u counts the others, which come first in the order; the
+    first k of ``shingles`` are the set's keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                whole = [shingle_hashes(x.as_py(), size) for x in batch.column(1).slice(low, 256)]
-                made = [prefix(x, similarity, frequent, counts) for x in whole]
-                rows = [len(x) for x in made]
-                places = np.concatenate([np.arange(n, dtype=np.int32) for n in rows])
-                vertices = np.repeat(np.array([_vertex(x) for x in whole], dtype=np.uint64).view(np.int64), rows)
-                sizes = np.repeat(np.array([len(x) for x in whole], dtype=np.int32), rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(vertices), pa.array(places), pa.array(sizes)], ["key", "v", "pos", "size"])
+            out: list[list] = [[] for _ in range(6)]
+            sets, parities = [], []
+            for v, n, fp, held in zip(*[batch.column(i) for i in range(4)], strict=True):
+                size, both = n.as_py(), held.values
+                hashes = both.field("h").to_numpy(zero_copy_only=False).view(np.uint64)
+                order = np.lexsort((hashes, both.field("df").to_numpy(zero_copy_only=False)))
+                alone = size - len(hashes)
+                keys = size - math.ceil(similarity * size - 1e-9) + 1 - alone
+                if keys > 0:
+                    for column, value in zip(out, (v.as_py(), size, alone, keys, fp.as_py(), _minima(hashes)), strict=True):
+                        column.append(value)
+                    sets.append(hashes[order])
+                    parities.append(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1)
+            bits = np.packbits(np.array(parities, dtype=np.uint8).reshape(-1, 256), axis=1, bitorder="little").view("<i8")
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            columns = [pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)], _lists(sets)], ["v", "n", "u", "k", "fp", "minima", *BITMAP, "shingles"])
         release_memory()
 
-    return docs.mapInArrow(run, "key long, v long, pos int, size int")
+    return shared.select("v", "n", "fp", "held").mapInArrow(run, f"v long, n int, u int, k int, fp long, minima array<long>, {', '.join(f'{b} long' for b in BITMAP)}, shingles array<long>")
 
 
 def _possible(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
-    """Whether sets that share a shingle at places ``pos`` may be alike enough; never false for those that are."""
-    least = similarity / (1 + similarity) * (x["size"] + y["size"])  # what they must share
-    most = F.least(x["pos"], y["pos"]) + F.least(x["size"] - x["pos"], y["size"] - y["pos"])
-    may = (F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-9) & (most >= least - 1e-9)
+    """Whether sets may be alike enough, by sizes, own shingles and, where given, parity; never false for those that are."""
+    most = (1 - similarity) / (1 + similarity) * (x["n"] + y["n"]) + 1e-9  # shingles in which they may differ
+    may = (F.least(x["n"], y["n"]) >= similarity * F.greatest(x["n"], y["n"]) - 1e-9) & (x["u"] + y["u"] <= most)
     if "b0" in x:
-        may &= sum((F.bit_count(x[b].bitwiseXOR(y[b])) for b in BITMAP), F.lit(0)) <= x["size"] + y["size"] - 2 * least + 1e-9
+        may &= x["u"] + y["u"] + sum((F.bit_count(x[b].bitwiseXOR(y[b])) for b in BITMAP), F.lit(0)) <= most
     return may
 
 
-def _wanted(rows: DataFrame, at: str, wanted: DataFrame, name: str) -> DataFrame:
-    """``rows`` whose ``at`` is a ``name`` of ``wanted`` (checkpointed); where these are few the rows aren't shuffled."""
-    return rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, F.col(at) == F.col(name), "left_semi")
+def _sides(pairs: DataFrame, live: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with columns of both sides, named x_ and y_."""
+    for side, name in (("a", "x"), ("b", "y")):
+        own = live.select(_anew("v").alias(f"{name}_v"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        pairs = pairs.join(own, F.col(side) == F.col(f"{name}_v"))
+    return pairs
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b) of the candidate ``pairs`` (checkpointed) whose shingle sets are alike enough."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("w_v")).distinct())
-    ids = materialize(_wanted(heads, "v", wanted, "w_v").groupBy("v").agg(F.min("id").alias("w_id")).select("w_id").distinct())
-    sets = materialize(_sets(_wanted(docs, "id", ids, "w_id"), size).groupBy("v").agg(F.first("shingles").alias("shingles")))
-    left = sets.select(_anew("v").alias("x_v"), F.col("shingles").alias("x"))
-    right = sets.select(_anew("v").alias("y_v"), F.col("shingles").alias("y"))
-    both = pairs.join(left, F.col("a") == F.col("x_v")).join(right, F.col("b") == F.col("y_v"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+def _verified(pairs: DataFrame, live: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, alike): by the whole sets. A shingle of two sets is in the list of either."""
+    both = _sides(pairs.select("a", "b"), live, "n", "shingles")
+    shared = F.size(F.array_intersect("x_shingles", "y_shingles"))
+    return both.select("a", "b", (shared >= similarity * (F.col("x_n") + F.col("y_n") - shared) - 1e-9).alias("alike"))
 
 
-def _neighbours(keyed: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b): vertices that stand side by side in a random block of one of their keys and may be alike enough."""
-    block = F.pmod(F.xxhash64("v", F.lit(turn), F.lit("block")), F.ceil(F.col("n") / BLOCK))
-    order = W.partitionBy("key", "block").orderBy(F.xxhash64("v", F.lit(turn)), "v")
-    rows = keyed.withColumn("block", block).withColumn("before", F.lag(F.struct("v", "pos", "size")).over(order)).where("before is not null")
-    rows = rows.where(_possible({n: F.col(n) for n in ("pos", "size")}, {n: F.col("before")[n] for n in ("pos", "size")}, similarity))
-    return rows.select(F.least("v", "before.v").alias("a"), F.greatest("v", "before.v").alias("b")).distinct()
+def _partners(pairs: DataFrame, live: DataFrame, similarity: float) -> DataFrame:
+    """Of the possible ``pairs`` (a, b, c) one for each vertex, that with the greatest c."""
+    columns = ("n", "u", *BITMAP)
+    both = _sides(pairs, live, *columns)
+    may = both.where(_possible(*({n: F.col(f"{s}_{n}") for n in columns} for s in "xy"), similarity)).select("a", "b", "c")
+    each = may.select(F.explode(F.array("a", "b")).alias("v"), F.struct("c", "a", "b").alias("pair"))
+    return each.groupBy("v").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
 
 
-def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with ``comp``, a vertex that all of one value are connected with."""
-    named = roots.select(_anew("v").alias("l_v"), "root")
-    return rows.join(named, F.col("v") == F.col("l_v"), "left").withColumn("comp", F.coalesce("root", "v")).drop("l_v", "root")
+def _golay_pairs(live: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, c): vertices of equal fingerprints, and of fingerprints that Golay codes link."""
+    classes = scratch.store(live.groupBy("fp").agg(F.min("v").alias("rep")))
+    named = lambda fp, rep: classes.select(_anew("fp").alias(fp), F.col("rep").alias(rep))
+    equal = live.select("fp", "v").join(named("e_fp", "rep"), F.col("fp") == F.col("e_fp")).where("v <> rep").select(F.col("rep").alias("a"), F.col("v").alias("b"))
+    near = links(classes.select("fp")).withColumnsRenamed({"a": "l_a", "b": "l_b"}).join(named("a_fp", "a"), F.col("l_a") == F.col("a_fp")).join(named("b_fp", "b"), F.col("l_b") == F.col("b_fp"))
+    return equal.union(near.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("c", F.lit(1).cast("long"))
 
 
-def near_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, group_id) of every identifier: the least identifier of its group, itself where it is alone.
+def _open(live: DataFrame, roots: DataFrame | None, *columns: Column | str) -> DataFrame:
+    """(key, v, n, u, comp, crowd) and ``columns`` for the keys under which different components meet."""
+    rows = live.withColumn("comp", F.col("v"))
+    if roots is not None:
+        rows = live.join(roots.select(_anew("v").alias("r_v"), "root"), F.col("v") == F.col("r_v"), "left").withColumn("comp", F.coalesce("root", "v"))
+    keyed = rows.withColumn("key", F.explode(F.slice("shingles", F.lit(1), F.col("k")))).select("key", "v", "n", "u", "comp", *columns)
+    met = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("crowd")).where("low < high").select(_anew("key").alias("c_key"), "crowd")
+    return keyed.join(met, F.col("key") == F.col("c_key")).drop("c_key")
+
 
-    Defined cases: null and empty texts and texts without words are alike; fewer words than a shingle make one shingle of
-    all; rows that share an identifier get the least group of their texts; null identifiers are left out; an empty table
-    gives an empty table.
+def _neighbours(live: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
+    """(a, b, c): vertices of different components side by side in a block of c of their keys.
+
+    Under each key another two of the minima order the vertices, so that much alike ones come together; the first of them
+    divides crowded keys into blocks.
     """
+    minimum = lambda i: F.get("minima", F.pmod(F.xxhash64("key", F.lit(turn), F.lit(i)), F.lit(ORDERS)).cast("int"))
+    rows = _open(live, roots, minimum(0).alias("first"), minimum(1).alias("second"))
+    rows = rows.withColumn("block", F.pmod("first", F.ceil(F.col("crowd") / BLOCK))).drop("crowd").repartition("key", "block")
+    order = W.partitionBy("key", "block").orderBy("first", "second", "v")
+    met = rows.withColumn("before", F.lag(F.struct("v", "n", "u", "comp")).over(order)).where("before.comp <> comp")
+    met = met.where(_possible({n: F.col(n) for n in "nu"}, {n: F.col(f"before.{n}") for n in "nu"}, similarity))
+    return met.groupBy(F.least("v", "before.v").alias("a"), F.greatest("v", "before.v").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def _remaining(live: DataFrame, roots: DataFrame | None, scratch: Scratch, similarity: float) -> DataFrame:
+    """(a, b): all possible pairs of a key whose vertices are in different components."""
+    open_ = scratch.store(_open(live, roots, *BITMAP).drop("crowd"))
+    other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
+    columns = ("n", "u", *BITMAP)
+    may = _possible({n: F.col(n) for n in columns}, {n: F.col(f"o_{n}") for n in columns}, similarity)
+    met = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("v") < F.col("o_v")) & (F.col("comp") != F.col("o_comp")) & may)
+    return met.select(F.col("v").alias("a"), F.col("o_v").alias("b")).distinct()
+
+
+def _linked(live: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
+    """(v, root): the components of all pairs that are alike enough."""
+    roots, tried = None, None
+    for turn in range(-1, ROUNDS + 1):
+        if turn < 0:
+            pairs = _partners(_golay_pairs(live, scratch), live, similarity)
+        elif turn < ROUNDS:
+            pairs = _neighbours(live, roots, turn, similarity)
+            pairs = _partners(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), live, similarity)
+        else:
+            pairs = _remaining(live, roots, scratch, similarity)
+            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        found = scratch.store(_verified(pairs, live, similarity))
+        failed, good = found.where("not alike").select("a", "b"), found.where("alike").select("a", "b")
+        tried = failed if tried is None else tried.union(failed)
+        if not good.isEmpty():
+            roots = components(good if roots is None else good.union(roots.select("v", "root")))
+    return roots
+
+
+def _grouped(docs: DataFrame, scratch: Scratch, text: str, ident: str, shingle: int, similarity: float) -> DataFrame:
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(ident).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data")).where("id is not null")
-    heads = materialize(_heads(source, shingle))
-    key = W.partitionBy("key")
-    met = _keys(source, shingle, similarity, *_frequent(source, shingle)).withColumns({"low": F.min("v").over(key), "high": F.max("v").over(key)})
-    keyed = materialize(met.where("low < high").drop("low", "high").dropDuplicates(["key", "v"]).withColumn("n", F.count(F.lit(1)).over(key)))
-    pairs = _neighbours(keyed, 0, similarity)
-    for turn in range(1, ROUNDS):
-        pairs = pairs.union(_neighbours(keyed, turn, similarity)).distinct()
-    edges = materialize(_verified(materialize(pairs), source, heads, shingle, similarity))
-    roots = components(edges, 2)  # what two rounds know to be connected needs no comparison
-    open_ = _labelled(keyed.drop("n"), roots).withColumns({"low": F.min("comp").over(key), "high": F.max("comp").over(key)}).where("low < high").drop("low", "high")
-    bitmaps = heads.select(_anew("v").alias("h_v"), *BITMAP).dropDuplicates(["h_v"])
-    open_ = materialize(open_.join(bitmaps, F.col("v") == F.col("h_v")).drop("h_v"))
-    small = open_.where(F.col("pos") <= F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-9))
-    large = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
-    names = ("pos", "size", *BITMAP)
-    ordered = (F.col("size") < F.col("o_size")) | ((F.col("size") == F.col("o_size")) & (F.col("v") < F.col("o_v")))
-    may = _possible({n: F.col(n) for n in names}, {n: F.col(f"o_{n}") for n in names}, similarity)
-    pairs = small.join(large, (F.col("key") == F.col("o_key")) & (F.col("comp") != F.col("o_comp")) & ordered & may).select(F.least("v", "o_v").alias("a"), F.greatest("v", "o_v").alias("b")).distinct()
-    roots = components(edges.union(materialize(_verified(materialize(pairs), source, heads, shingle, similarity))))
-    rows = materialize(_labelled(heads.select("id", "v"), roots))
-    least = rows.groupBy("comp").agg(F.min("id").alias("least")).select(_anew("comp").alias("g_comp"), "least")
-    return rows.join(least, F.col("comp") == F.col("g_comp")).groupBy("id").agg(F.min("least").alias("group_id"))
+    source = docs.select(F.col(ident).cast("long").alias("id"), _mark(text).alias("mark"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
+    heads = scratch.store(_heads(source, shingle).withColumn("v", F.monotonically_increasing_id()))
+    copies = scratch.store(heads.groupBy("digest").agg(F.min("v").alias("r"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.concat("digest", F.lit("").cast("binary")).alias("c_digest"), "r"))
+    named = heads.join(copies, F.col("digest") == F.col("c_digest"), "left").withColumn("r", F.coalesce("r", "v"))
+    # candidates: enough of the sketch stands in other sketches
+    firsts = named.where("r = v")
+    sketched = firsts.select("v", F.explode("sketch").alias("h"))
+    shared = sketched.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(_anew("h").alias("s_h"))
+    held = sketched.join(shared, F.col("h") == F.col("s_h")).groupBy("v").agg(F.count(F.lit(1)).alias("held")).select(_anew("v").alias("h_v"), "held")
+    least = F.when(F.col("n") <= math.floor(similarity * SKETCH), F.ceil(similarity * F.col("n") - 1e-9)).otherwise(least_shared(similarity))
+    wanted = scratch.store(firsts.select("id", "mark", "v", "n").join(held, F.col("v") == F.col("h_v")).where(F.col("held") >= least).select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark"), "v"))
+    sets = scratch.store(_sets(source.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).select("v", "data"), shingle))
+    if not sets.groupBy("v").count().where("count > 1").isEmpty():  # rows that are equal in identifier and text
+        sets = scratch.store(sets.dropDuplicates(["v"]))
+    every = sets.select("v", F.explode("shingles").alias("h"))
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(_anew("h").alias("s_h"), "df")
+    held = every.join(shared, F.col("h") == F.col("s_h")).groupBy("v").agg(F.collect_list(F.struct("df", "h")).alias("held"))
+    live = scratch.store(_live(held.join(sets.select(_anew("v").alias("n_v"), "n", "fp"), F.col("v") == F.col("n_v")), similarity))
+    roots = _linked(live, scratch, similarity)
+    rows = named.select("id", "mark", F.col("r").alias("comp"))
+    if roots is not None:
+        rows = named.select("id", "mark", "r").join(roots.select(_anew("v").alias("r_v"), "root"), F.col("r") == F.col("r_v"), "left").select("id", "mark", F.coalesce("root", "r").alias("comp"))
+    rows = scratch.store(rows)
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "mark")).alias("first")).select(_anew("comp").alias("f_comp"), "first")
+    return rows.join(first, F.col("comp") == F.col("f_comp")).select("id", "mark", F.col("first.id").alias("group_id"), (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))).alias("stays"))
+
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def near_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, mark, group_id, stays) of every row: group_id is the least identifier of its group, itself where it is alone.
+
+    mark is a hash of the text; it tells rows that share an identifier apart. Defined cases: null and empty texts and texts
+    without words are alike; fewer words than a shingle make one shingle of all; rows that share an identifier but not the
+    text are documents of their own, and the one with the least mark stays; rows equal in both stay or go together; a null
+    identifier comes after all others; an empty table gives an empty table. Identifiers are cast to long.
+    """
+    return _grouped(docs, Scratch(docs.sparkSession), text, ident, shingle, similarity)
 
 
 def near_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group those with the least identifier; rows without one always stay."""
-    dropped = near_groups(docs, text, ident, shingle, similarity).where("id <> group_id").select(F.col("id").alias("_dropped"))
-    return docs.join(dropped, F.col(ident).cast("long") == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` that stay, one document of each group, with its columns. Defined cases as in :func:`near_groups`."""
+    scratch = Scratch(docs.sparkSession)
+    dropped = scratch.store(_grouped(docs, scratch, text, ident, shingle, similarity).where("not stays").select(F.col("id").alias("_dropped_id"), F.col("mark").alias("_dropped_mark")).distinct())
+    scratch.drop_all_but_last()
+    return docs.join(dropped, F.col(ident).cast("long").eqNullSafe(F.col("_dropped_id")) & (_mark(text) == F.col("_dropped_mark")), "left_anti")

@@ -397,7 +397,7 @@ def test_near_dedup_by_shingles(spark):
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
+@pytest.mark.parametrize("rounds", [0, 2])
 def test_crowds_of_near_copies_lose_no_link(spark, monkeypatch, rounds):
     monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
@@ -427,10 +427,10 @@ def test_near_dedup_finds_appended_and_truncated_copies(spark):
     assert len(pairs) > 400 and [got[i] for i in range(len(texts))] == want
 
 
-@pytest.mark.parametrize("sample, frequent", [(1, 10**5), (1, 7), (10**9, 7)])
-def test_near_dedup_equals_brute_force(spark, monkeypatch, sample, frequent):
-    monkeypatch.setattr(near_dedup, "SAMPLE", sample)
-    monkeypatch.setattr(near_dedup, "FREQUENT", frequent)
+@pytest.mark.parametrize("rounds, sketch", [(0, 64), (2, 64), (1, 200)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, rounds, sketch):
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "SKETCH", sketch)
     some, texts = random.Random(22), []
     common = [f"c{k}" for k in range(40)]
     for _ in range(40):
@@ -448,6 +448,27 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, sample, frequent):
     assert [got[i] for i in range(len(texts))] == root and len(set(root)) < len(root) - 20
 
 
+def test_near_dedup_keeps_unlike_texts_of_one_identifier(spark):
+    a = " ".join(f"a{k}" for k in range(100))
+    rows = [(3, a), (5, a + " more"), (5, "something else that nobody has"), (5, "something else that nobody has"), (None, a + " most"), (None, "alone " * 9), (7, None)]
+    out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(out.collect(), key=str) == sorted([rows[0], rows[2], rows[3], rows[5], rows[6]], key=str)
+
+
+def test_near_dedup_on_documents_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    sets = [set(near_dedup.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    root = [i for i, _ in rows]
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        small, large = sorted((len(sets[i]), len(sets[j])))
+        if small >= 0.8 * large - 1e-9 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    got = {r.id: r.group_id for r in near_dedup.near_groups(docs).collect()}
+    assert len(got) == len(rows) and [got[i] for i, _ in rows] == root
+
+
 # 8
 
 
