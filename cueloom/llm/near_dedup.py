@@ -217,8 +217,9 @@ def _remaining(live: DataFrame, roots: DataFrame | None, scratch: Scratch, simil
 
 def _linked(live: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
     """(v, root): the components of all pairs that are alike enough."""
-    roots, tried = None, None
-    for turn in range(-1, ROUNDS + 1):
+    roots, tried, turn = None, None, -2
+    while turn < ROUNDS:
+        turn += 1
         if turn < 0:
             pairs = _partners(_golay_pairs(live, scratch), live, similarity)
         elif turn < ROUNDS:
@@ -230,7 +231,9 @@ def _linked(live: DataFrame, scratch: Scratch, similarity: float) -> DataFrame |
         found = scratch.store(_verified(pairs, live, similarity))
         failed, good = found.where("not alike").select("a", "b"), found.where("alike").select("a", "b")
         tried = failed if tried is None else tried.union(failed)
-        if not good.isEmpty():
+        if good.isEmpty():
+            turn = ROUNDS - 1 if 0 <= turn < ROUNDS else turn  # neighbours have no more to say
+        else:
             roots = components(good if roots is None else good.union(roots.select("v", "root")))
     return roots
 

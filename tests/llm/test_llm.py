@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -135,7 +136,7 @@ def test_toxicity_learns_and_decodes(spark):
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert {r.doc_id for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()} == set(held)
     assert np.mean([(scored[i] >= 0.3) == (i % 6 == 0) for i in held]) > 0.98
-    odd = documents(spark, ["you 1d10t m0r0n", "such a s c u m and i.d.i.o.t", "idiooot mooooron", *AWKWARD])
+    odd = documents(spark, ["you 1d10t m0r0n", "such a s c u m and i.d.i.o.t", "idiooot moorron iddiot", *AWKWARD])
     got = [r.s for r in toxicity.score(odd, model, out="s").orderBy("doc_id").collect()]
     assert min(got[:3]) >= 0.3 and max(got[3:]) < 0.3 and got[3] == got[4] and all(0 <= s <= 1 for s in got)
     assert toxicity.clean(documents(spark, texts, clash=True), known).columns == documents(spark, texts, clash=True).columns
@@ -144,15 +145,27 @@ def test_toxicity_learns_and_decodes(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-@pytest.mark.parametrize(("shown", "read"), [("1d10t", "idiot"), ("m0r0n", "moron"), ("s c u m", "scum"), ("i-d-i-o-t", "idiot"), ("sc*m", "scum"), ("mooooron", "moron")])
+@pytest.mark.parametrize(("shown", "read"), [("1d10t", "idiot"), ("m0r0n", "moron"), ("s c u m", "scum"), ("i-d-i-o-t", "idiot"), ("sc*m", "scum"), ("mooooron", "moron"), ("MooOOron", "moron"),
+    ("w0rth1355", "worthless"), ("1d107", "idiot"), ("m0r0n!", "moron"), ("a$$", "ass"), ("s  c  u  m", "scum"), ("s - c - u - m", "scum"), ("well-known", "well known"), ("(thing).", "thing")])
 def test_viterbi(shown, read):
-    model = toxicity.CharModel(toxicity.trigram_counts(["idiot", "moron", "scum", "walking", "thing"] * 20))
-    assert toxicity.restored(f"the {shown} went", model, {}) == [read]
+    model = toxicity.CharModel(toxicity.trigram_counts(["idiot", "moron", "scum", "walking", "thing", "worthless", "ass"] * 20))
+    got = toxicity.WORDS.findall(toxicity.restored(f"The {shown} went", model, {}))
+    assert got[0] == "the" and got[-1] == "went" and got[1:-1] == read.split()
+    assert re.search(toxicity.MAYBE, shown) or shown in ("well-known", "(thing).")
+
+
+@pytest.mark.parametrize("sign", ["|", "!", "+", "<", "(", "@", "$", "0", "*", "-", ".", "_", "a", "a|", "a ", "1 ", "aa", "a-", "ab.", "a|b!"])
+def test_long_runs_are_restored_in_linear_time(sign):
+    model = toxicity.CharModel(toxicity.trigram_counts(["bitch", "thing"] * 20))
+    began = time.time()
+    for n in (1_000, 300_000):
+        assert "bitch" in toxicity.WORDS.findall(toxicity.restored(sign * (n // len(sign)) + " , aaa b1tch", model, {}))
+    assert time.time() - began < 25
 
 
 def test_words_set_apart_are_told_apart():
     model = toxicity.CharModel(toxicity.trigram_counts(["a", "b", "scum", "moron"] * 200))
-    assert toxicity.restored("a s c u m b", model, {}) == ["a", "scum", "b"]
+    assert toxicity.restored("a s c u m b", model, {}).split() == ["a", "scum", "b"]
 
 
 def test_viterbi_takes_the_cheapest_path():
