@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -78,6 +79,13 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage: only then does Spark delete the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    release_memory()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cueloom.llm.common import Scratch, release_memory, small_batches
+from cueloom.llm.common import Scratch, release_memory, small_batches, tidy
 from cueloom.llm.simhash import SEED, _anew, components, fingerprint, links
 
 #: Shingles of a sketch, and the probability with which it may miss a pair at the similarity asked for.
@@ -229,6 +229,7 @@ def _linked(live: DataFrame, scratch: Scratch, similarity: float) -> DataFrame |
             pairs = _remaining(live, roots, scratch, similarity)
             pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         found = scratch.store(_verified(pairs, live, similarity))
+        tidy(live.sparkSession)
         failed, good = found.where("not alike").select("a", "b"), found.where("alike").select("a", "b")
         tried = failed if tried is None else tried.union(failed)
         if good.isEmpty():
@@ -241,6 +242,7 @@ def _linked(live: DataFrame, scratch: Scratch, similarity: float) -> DataFrame |
 def _grouped(docs: DataFrame, scratch: Scratch, text: str, ident: str, shingle: int, similarity: float) -> DataFrame:
     small_batches(docs.sparkSession)
     source = docs.select(F.col(ident).cast("long").alias("id"), _mark(text).alias("mark"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
+    tidy(docs.sparkSession)
     heads = scratch.store(_heads(source, shingle).withColumn("v", F.monotonically_increasing_id()))
     copies = scratch.store(heads.groupBy("digest").agg(F.min("v").alias("r"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.concat("digest", F.lit("").cast("binary")).alias("c_digest"), "r"))
     named = heads.join(copies, F.col("digest") == F.col("c_digest"), "left").withColumn("r", F.coalesce("r", "v"))
@@ -258,6 +260,7 @@ def _grouped(docs: DataFrame, scratch: Scratch, text: str, ident: str, shingle:
     shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(_anew("h").alias("s_h"), "df")
     held = every.join(shared, F.col("h") == F.col("s_h")).groupBy("v").agg(F.collect_list(F.struct("df", "h")).alias("held"))
     live = scratch.store(_live(held.join(sets.select(_anew("v").alias("n_v"), "n", "fp"), F.col("v") == F.col("n_v")), similarity))
+    tidy(docs.sparkSession)
     roots = _linked(live, scratch, similarity)
     rows = named.select("id", "mark", F.col("r").alias("comp"))
     if roots is not None:
