@@ -9,7 +9,7 @@ Links. The SimHash fingerprints of the candidates go through the Golay-code link
 few differences; those of similarity t may differ in a sixth of all bits, which no keys of 64-bit fingerprints find without
 loss. So shingles are put in one order, seldom ones first, and sets of similarity t and more share one of their first
 |x| - ceil(t |x|) + 1 - that is, one of the few that remain there beside the dropped ones - whatever the difference is.
-Rounds compare, under each such key, vertices that stand side by side in an order by minima of hashed shingles, one partner
+Rounds compare, under each such key, vertices that stand side by side in an order by minima of hashed shingles, a few partners
 for each vertex, and connected ones become one component. At last all pairs of a key whose vertices are in
 different components meet in a join whose condition holds what similarity t allows: sizes, dropped shingles on both sides,
 and parity bitmaps of the others (sets that differ in n shingles differ in at most n bits). None of these turns down
@@ -34,8 +34,8 @@ from cueloom.llm.simhash import SEED, _anew, components, fingerprint, links
 
 #: Shingles of a sketch, and the probability with which it may miss a pair at the similarity asked for.
 SKETCH, LOST = 64, 1e-11
-#: Rounds that compare neighbours, and the vertices of a block in them.
-ROUNDS, BLOCK = 4, 256
+#: Rounds that compare neighbours, the partners of a vertex in a round, and the vertices of a block of a crowded key.
+ROUNDS, PARTNERS, BLOCK = 2, 4, 256
 #: Longs of a parity bitmap, one bit for each value of a hash's upper byte; orders of minima.
 BITMAP, ORDERS = ("b0", "b1", "b2", "b3"), 16
 
@@ -108,34 +108,36 @@ def _minima(hashes: np.ndarray) -> list[int]:
 
 
 def _live(shared: DataFrame, similarity: float) -> DataFrame:
-    """(v, n, u, k, fp, bitmap, minima, shingles) of (v, n, fp, held): sets some of whose first shingles others have.
+    """(v, n, u, k, fp, minima, bitmap, shingles, crowds) of (v, n, fp, held): sets some of whose first shingles others have.
 
     held has (df, h) for every shingle that two sets or more have. u counts the others, which come first in the order; the
-    first k of ``shingles`` are the set's keys.
+    first k of ``shingles`` are the set's keys, and ``crowds`` says how many sets have them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            sets, parities = [], []
+            sets, parities, crowds = [], [], []
             for v, n, fp, held in zip(*[batch.column(i) for i in range(4)], strict=True):
                 size, both = n.as_py(), held.values
                 hashes = both.field("h").to_numpy(zero_copy_only=False).view(np.uint64)
-                order = np.lexsort((hashes, both.field("df").to_numpy(zero_copy_only=False)))
+                df = both.field("df").to_numpy(zero_copy_only=False)
+                order = np.lexsort((hashes, df))
                 alone = size - len(hashes)
                 keys = size - math.ceil(similarity * size - 1e-9) + 1 - alone
                 if keys > 0:
                     for column, value in zip(out, (v.as_py(), size, alone, keys, fp.as_py(), _minima(hashes)), strict=True):
                         column.append(value)
                     sets.append(hashes[order])
+                    crowds.append(df[order[:keys]].astype(np.uint64))
                     parities.append(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1)
             bits = np.packbits(np.array(parities, dtype=np.uint8).reshape(-1, 256), axis=1, bitorder="little").view("<i8")
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             columns = [pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)], _lists(sets)], ["v", "n", "u", "k", "fp", "minima", *BITMAP, "shingles"])
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)], _lists(sets), _lists(crowds)], ["v", "n", "u", "k", "fp", "minima", *BITMAP, "shingles", "crowds"])
         release_memory()
 
-    return shared.select("v", "n", "fp", "held").mapInArrow(run, f"v long, n int, u int, k int, fp long, minima array<long>, {', '.join(f'{b} long' for b in BITMAP)}, shingles array<long>")
+    return shared.select("v", "n", "fp", "held").mapInArrow(run, f"v long, n int, u int, k int, fp long, minima array<long>, {', '.join(f'{b} long' for b in BITMAP)}, shingles array<long>, crowds array<long>")
 
 
 def _possible(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
@@ -163,12 +165,13 @@ def _verified(pairs: DataFrame, live: DataFrame, similarity: float) -> DataFrame
 
 
 def _partners(pairs: DataFrame, live: DataFrame, similarity: float) -> DataFrame:
-    """Of the possible ``pairs`` (a, b, c) one for each vertex, that with the greatest c."""
+    """Of the possible ``pairs`` (a, b, c) PARTNERS for each vertex, those with the greatest c; the others stay open."""
     columns = ("n", "u", *BITMAP)
     both = _sides(pairs, live, *columns)
     may = both.where(_possible(*({n: F.col(f"{s}_{n}") for n in columns} for s in "xy"), similarity)).select("a", "b", "c")
-    each = may.select(F.explode(F.array("a", "b")).alias("v"), F.struct("c", "a", "b").alias("pair"))
-    return each.groupBy("v").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+    each = may.withColumn("v", F.explode(F.array("a", "b")))
+    rank = F.row_number().over(W.partitionBy("v").orderBy(F.desc("c"), F.xxhash64("a", "b")))
+    return each.withColumn("rank", rank).where(F.col("rank") <= PARTNERS).select("a", "b").distinct()
 
 
 def _golay_pairs(live: DataFrame, scratch: Scratch) -> DataFrame:
@@ -177,17 +180,14 @@ def _golay_pairs(live: DataFrame, scratch: Scratch) -> DataFrame:
     named = lambda fp, rep: classes.select(_anew("fp").alias(fp), F.col("rep").alias(rep))
     equal = live.select("fp", "v").join(named("e_fp", "rep"), F.col("fp") == F.col("e_fp")).where("v <> rep").select(F.col("rep").alias("a"), F.col("v").alias("b"))
     near = links(classes.select("fp")).withColumnsRenamed({"a": "l_a", "b": "l_b"}).join(named("a_fp", "a"), F.col("l_a") == F.col("a_fp")).join(named("b_fp", "b"), F.col("l_b") == F.col("b_fp"))
-    return equal.union(near.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("c", F.lit(1).cast("long"))
+    return equal.union(near.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("c", F.lit(2**31).cast("long"))
 
 
-def _open(live: DataFrame, roots: DataFrame | None, *columns: Column | str) -> DataFrame:
-    """(key, v, n, u, comp, crowd) and ``columns`` for the keys under which different components meet."""
-    rows = live.withColumn("comp", F.col("v"))
-    if roots is not None:
-        rows = live.join(roots.select(_anew("v").alias("r_v"), "root"), F.col("v") == F.col("r_v"), "left").withColumn("comp", F.coalesce("root", "v"))
-    keyed = rows.withColumn("key", F.explode(F.slice("shingles", F.lit(1), F.col("k")))).select("key", "v", "n", "u", "comp", *columns)
-    met = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("crowd")).where("low < high").select(_anew("key").alias("c_key"), "crowd")
-    return keyed.join(met, F.col("key") == F.col("c_key")).drop("c_key")
+def _labelled(live: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``live`` with ``comp``, the least vertex that a vertex is known to be connected with."""
+    if roots is None:
+        return live.withColumn("comp", F.col("v"))
+    return live.join(roots.select(_anew("v").alias("r_v"), "root"), F.col("v") == F.col("r_v"), "left").withColumn("comp", F.coalesce("root", "v"))
 
 
 def _neighbours(live: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
@@ -197,8 +197,9 @@ def _neighbours(live: DataFrame, roots: DataFrame | None, turn: int, similarity:
     divides crowded keys into blocks.
     """
     minimum = lambda i: F.get("minima", F.pmod(F.xxhash64("key", F.lit(turn), F.lit(i)), F.lit(ORDERS)).cast("int"))
-    rows = _open(live, roots, minimum(0).alias("first"), minimum(1).alias("second"))
-    rows = rows.withColumn("block", F.pmod("first", F.ceil(F.col("crowd") / BLOCK))).drop("crowd").repartition("key", "block")
+    keyed = _labelled(live, roots).select("v", "n", "u", "comp", "minima", F.explode(F.arrays_zip(F.slice("shingles", F.lit(1), F.col("k")).alias("key"), "crowds")).alias("at"))
+    rows = keyed.select("v", "n", "u", "comp", "minima", "at.key", "at.crowds").select("v", "n", "u", "comp", "key", "crowds", minimum(0).alias("first"), minimum(1).alias("second"))
+    rows = rows.withColumn("block", F.pmod("first", F.ceil(F.col("crowds") / BLOCK))).drop("crowds").repartition("key", "block")
     order = W.partitionBy("key", "block").orderBy("first", "second", "v")
     met = rows.withColumn("before", F.lag(F.struct("v", "n", "u", "comp")).over(order)).where("before.comp <> comp")
     met = met.where(_possible({n: F.col(n) for n in "nu"}, {n: F.col(f"before.{n}") for n in "nu"}, similarity))
@@ -207,7 +208,9 @@ def _neighbours(live: DataFrame, roots: DataFrame | None, turn: int, similarity:
 
 def _remaining(live: DataFrame, roots: DataFrame | None, scratch: Scratch, similarity: float) -> DataFrame:
     """(a, b): all possible pairs of a key whose vertices are in different components."""
-    open_ = scratch.store(_open(live, roots, *BITMAP).drop("crowd"))
+    keyed = _labelled(live, roots).select(F.explode(F.slice("shingles", F.lit(1), F.col("k"))).alias("key"), "v", "n", "u", "comp", *BITMAP)
+    met = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(_anew("key").alias("c_key"))
+    open_ = scratch.store(keyed.join(met, F.col("key") == F.col("c_key")).drop("c_key"))
     other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
     columns = ("n", "u", *BITMAP)
     may = _possible({n: F.col(n) for n in columns}, {n: F.col(f"o_{n}") for n in columns}, similarity)
@@ -217,25 +220,21 @@ def _remaining(live: DataFrame, roots: DataFrame | None, scratch: Scratch, simil
 
 def _linked(live: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
     """(v, root): the components of all pairs that are alike enough."""
-    roots, tried, turn = None, None, -2
-    while turn < ROUNDS:
-        turn += 1
-        if turn < 0:
-            pairs = _partners(_golay_pairs(live, scratch), live, similarity)
-        elif turn < ROUNDS:
+    roots = tried = None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
             pairs = _neighbours(live, roots, turn, similarity)
-            pairs = _partners(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), live, similarity)
+            pairs = pairs.union(_golay_pairs(live, scratch)) if turn == 0 else pairs
         else:
             pairs = _remaining(live, roots, scratch, similarity)
-            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        found = scratch.store(_verified(pairs, live, similarity))
-        tidy(live.sparkSession)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        found = scratch.store(_verified(_partners(pairs, live, similarity) if turn < ROUNDS else pairs, live, similarity))
         failed, good = found.where("not alike").select("a", "b"), found.where("alike").select("a", "b")
         tried = failed if tried is None else tried.union(failed)
-        if good.isEmpty():
-            turn = ROUNDS - 1 if 0 <= turn < ROUNDS else turn  # neighbours have no more to say
-        else:
+        if not good.isEmpty():
             roots = components(good if roots is None else good.union(roots.select("v", "root")))
+        tidy(live.sparkSession)
     return roots
 
 

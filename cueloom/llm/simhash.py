@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from cueloom.llm.common import free_name, materialize, small_batches
+from cueloom.llm.common import Scratch, free_name, materialize, small_batches
 
 SEED = 42
 #: Fixed value: generator polynomial of the (23, 12) Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -150,34 +150,29 @@ def links(classes: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(v, root): for every vertex of ``edges`` (a, b) the least vertex that it reaches.
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root): for every vertex of ``edges`` (a, b) that isn't the least of its component, that least vertex.
 
-    Alternating large-star and small-star steps until the edges are stars. Every step joins through a sort-merge join,
-    whose crowded keys adaptive execution divides; minima are combined before they are shuffled. With ``rounds`` it stops
-    after so many: root is then a lesser vertex that v is connected with, maybe not the least.
+    Alternating large-star and small-star steps until the edges are stars, each written to the shared folder. Where a side
+    is too large to be broadcast, a step joins through a sort-merge join, whose crowded keys adaptive execution divides;
+    minima are combined before they are shuffled.
     """
-    now, before = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct()), None
+    scratch = Scratch(edges.sparkSession)
+    now, before = scratch.store(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct()), None
     while True:
         # large star: the greater neighbours of a vertex go to its least neighbour
         both = now.union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select(_anew("v").alias("c"), F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, F.col("v") == F.col("c")).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        large = materialize(large)
+        large = scratch.store(both.where("u > v").join(least, F.col("v") == F.col("c")).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
         # small star: the lesser neighbours of a vertex go to the least of them
         least = large.groupBy("v").agg(F.min("u").alias("m")).select(_anew("v").alias("c"), "m")
         joined = large.join(least, F.col("v") == F.col("c"))
-        small = joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct()
-        now = materialize(small)
-        if rounds is not None:
-            rounds -= 1
-            if rounds > 0:
-                continue
-            return now.groupBy("v").agg(F.min("u").alias("root"))
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(seen) == before:
+        now = scratch.store(joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select(F.col("c").alias("v"), F.col("m").alias("u"))).distinct())
+        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        if seen == before:
+            scratch.drop_all_but_last()
             return now.select("v", F.col("u").alias("root"))
-        before = tuple(seen)
+        before = seen
 
 
 def near_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = 3) -> DataFrame:

@@ -312,11 +312,10 @@ def _restored_rows(rows: DataFrame, grams: np.ndarray) -> DataFrame:
 def _chosen(rows: DataFrame, all1: int, all0: int) -> list[str]:
     """The features that tell toxic rows best, best first."""
     least = max(2 if all1 < 100 else 3, all1 // 200)
-    top = _positive_features(rows).where(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(CANDIDATES).collect()
-    listed, n1 = [r["f"] for r in top], np.array([r["n"] for r in top], dtype=np.float64)
-    n0 = np.zeros(len(listed))
-    for r in _counted(rows, listed, False).collect():
-        n0[r["i"]] = r["n"]
+    top = _positive_features(rows).where(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(CANDIDATES).toArrow()
+    listed, n1 = top["f"].to_pylist(), top["n"].to_numpy().astype(np.float64)
+    n0, seen = np.zeros(len(listed)), _counted(rows, listed, False).toArrow()
+    n0[seen["i"].to_numpy()] = seen["n"].to_numpy()
     gain = _ratio(n1, n0, all1, all0)
     order = sorted(range(len(listed)), key=lambda i: (-gain[i], listed[i]))
     return [listed[i] for i in order[:CHOSEN] if gain[i] > 10]
@@ -338,10 +337,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     chosen = _chosen(rows, all1, all0)
     if not chosen:
         return Model({}, math.log(all1 / all0), grams)
-    held = _counted(rows, chosen, True).collect()
-    x, y = np.zeros((len(held), len(chosen)), dtype=np.float32), np.array([r["toxic"] for r in held], dtype=np.float64)
-    for k, r in enumerate(held):
-        x[k, r["found"]] = 1
+    held = _counted(rows, chosen, True).toArrow().combine_chunks()
+    x, y = np.zeros((held.num_rows, len(chosen)), dtype=np.float32), held["toxic"].to_numpy().astype(np.float64)
+    for k, found in enumerate(held["found"]):
+        x[k, found.values.to_numpy()] = 1
     order_rows = np.lexsort((*x.T[:64], y))  # the same sums whatever order the rows came in
     weights, intercept = _logistic(x[order_rows], y[order_rows])
     weights = dict(zip(chosen, np.round(weights, 6).tolist(), strict=True))
@@ -450,20 +449,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     if not all1 or not all0:
         return Model({}, 30.0 if all1 else -30.0, grams)
     least = max(2 if all1 < 100 else 3, all1 // 200)
-    top = _positive_features(rows).where(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(CANDIDATES).collect()
-    listed, n1 = [r["f"] for r in top], np.array([r["n"] for r in top], dtype=np.float64)
-    n0 = np.zeros(len(listed))
-    for r in _counted(rows, listed, False).collect():
-        n0[r["i"]] = r["n"]
+    top = _positive_features(rows).where(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(CANDIDATES).toArrow()
+    listed, n1 = top["f"].to_pylist(), top["n"].to_numpy().astype(np.float64)
+    n0, seen = np.zeros(len(listed)), _counted(rows, listed, False).toArrow()
+    n0[seen["i"].to_numpy()] = seen["n"].to_numpy()
     gain = _ratio(n1, n0, all1, all0)
     order = sorted(range(len(listed)), key=lambda i: (-gain[i], listed[i]))
     chosen = [listed[i] for i in order[:CHOSEN] if gain[i] > 10]
     if not chosen:
         return Model({}, math.log(all1 / all0), grams)
-    held = _counted(rows, chosen, True).collect()
-    x, y = np.zeros((len(held), len(chosen)), dtype=np.float32), np.array([r["toxic"] for r in held], dtype=np.float64)
-    for k, r in enumerate(held):
-        x[k, r["found"]] = 1
+    held = _counted(rows, chosen, True).toArrow().combine_chunks()
+    x, y = np.zeros((held.num_rows, len(chosen)), dtype=np.float32), held["toxic"].to_numpy().astype(np.float64)
+    for k, found in enumerate(held["found"]):
+        x[k, found.values.to_numpy()] = 1
     order_rows = np.lexsort((*x.T[:64], y))  # the same sums whatever order the rows came in
     weights, intercept = _logistic(x[order_rows], y[order_rows])
     weights = dict(zip(chosen, np.round(weights, 6).tolist(), strict=True))
