@@ -36,6 +36,8 @@ from cueloom.llm.simhash import SEED, _anew, components, fingerprint, links
 SKETCH, LOST = 64, 1e-11
 #: Rounds that compare neighbours, the partners of a vertex in a round, and the vertices of a block of a crowded key.
 ROUNDS, PARTNERS, BLOCK = 2, 4, 256
+#: Keys before one that tell whether a pair has met already.
+EARLIER = 16
 #: Longs of a parity bitmap, one bit for each value of a hash's upper byte; orders of minima.
 BITMAP, ORDERS = ("b0", "b1", "b2", "b3"), 16
 
@@ -193,13 +195,13 @@ def _labelled(live: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _neighbours(live: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
     """(a, b, c): vertices of different components side by side in a block of c of their keys.
 
-    Under each key another two of the minima order the vertices, so that much alike ones come together; the first of them
-    divides crowded keys into blocks.
+    Under each key another two of the minima order the vertices, so that much alike ones come together; both
+    divide crowded keys into blocks.
     """
     minimum = lambda i: F.get("minima", F.pmod(F.xxhash64("key", F.lit(turn), F.lit(i)), F.lit(ORDERS)).cast("int"))
     keyed = _labelled(live, roots).select("v", "n", "u", "comp", "minima", F.explode(F.arrays_zip(F.slice("shingles", F.lit(1), F.col("k")).alias("key"), "crowds")).alias("at"))
     rows = keyed.select("v", "n", "u", "comp", "minima", "at.key", "at.crowds").select("v", "n", "u", "comp", "key", "crowds", minimum(0).alias("first"), minimum(1).alias("second"))
-    rows = rows.withColumn("block", F.pmod("first", F.ceil(F.col("crowds") / BLOCK))).drop("crowds").repartition("key", "block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("first", "second"), F.ceil(F.col("crowds") / BLOCK))).drop("crowds").repartition("key", "block")
     order = W.partitionBy("key", "block").orderBy("first", "second", "v")
     met = rows.withColumn("before", F.lag(F.struct("v", "n", "u", "comp")).over(order)).where("before.comp <> comp")
     met = met.where(_possible({n: F.col(n) for n in "nu"}, {n: F.col(f"before.{n}") for n in "nu"}, similarity))
@@ -207,14 +209,19 @@ def _neighbours(live: DataFrame, roots: DataFrame | None, turn: int, similarity:
 
 
 def _remaining(live: DataFrame, roots: DataFrame | None, scratch: Scratch, similarity: float) -> DataFrame:
-    """(a, b): all possible pairs of a key whose vertices are in different components."""
-    keyed = _labelled(live, roots).select(F.explode(F.slice("shingles", F.lit(1), F.col("k"))).alias("key"), "v", "n", "u", "comp", *BITMAP)
+    """(a, b): all possible pairs of a key whose vertices are in different components.
+
+    A pair that has one of the EARLIER keys before this one in common meets there too, so it isn't made again here.
+    """
+    keyed = _labelled(live, roots).select(F.posexplode(F.slice("shingles", F.lit(1), F.col("k"))).alias("pos", "key"), "v", "n", "u", "comp", "shingles", *BITMAP)
+    earlier = F.slice("shingles", F.greatest(F.lit(1), F.col("pos") + 1 - EARLIER), F.least(F.col("pos"), F.lit(EARLIER)))
+    keyed = keyed.select("key", "v", "n", "u", "comp", earlier.alias("earlier"), *BITMAP)
     met = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(_anew("key").alias("c_key"))
     open_ = scratch.store(keyed.join(met, F.col("key") == F.col("c_key")).drop("c_key"))
     other = open_.select(*[F.col(c).alias(f"o_{c}") for c in open_.columns])
     columns = ("n", "u", *BITMAP)
     may = _possible({n: F.col(n) for n in columns}, {n: F.col(f"o_{n}") for n in columns}, similarity)
-    met = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("v") < F.col("o_v")) & (F.col("comp") != F.col("o_comp")) & may)
+    met = open_.join(other, (F.col("key") == F.col("o_key")) & (F.col("v") < F.col("o_v")) & (F.col("comp") != F.col("o_comp")) & may & ~F.arrays_overlap("earlier", "o_earlier"))
     return met.select(F.col("v").alias("a"), F.col("o_v").alias("b")).distinct()
 
 
