@@ -11,40 +11,40 @@ pieces. Piece totals make a small table whose own prefix sums offset the running
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import cycle
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cueloom.llm.common import WORD, free_name, materialize, shuffle_partitions
-
-#: Most distinct sources whose totals the driver holds (a name and three numbers each).
-MOST_SOURCES = 1_000_000
+from cueloom.llm.common import WORD, Scratch, free_name, materialize, shuffle_partitions
 
 
 def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def shares(sizes: dict[str | None, int], weights: Callable[[list[str | None]], list[float]] | None = None, factor: float = 1.5, most_epochs: int = 2) -> dict[str | None, float]:
-    """Targets in words. Sources in code-point order (null last) weigh 5, 2, 1 and so on unless ``weights`` says otherwise.
+def cycled(rank: Column) -> Column:
+    """Weights of sources by their place in the order: 5, 2, 1, repeating."""
+    return F.when(rank % 3 == 0, 5).when(rank % 3 == 1, 2).otherwise(1)
+
+
+def shares(sizes: DataFrame, weights: Callable[[Column], Column] = cycled, factor: float = 1.5, most_epochs: int = 2) -> DataFrame:
+    """(source, source_size, target) of (source, source_size), targets in words.
 
-    A target over ``most_epochs`` times its source's size is cut to that, and what is left is shared out again among the
-    others by weight until none is above.
+    Sources stand in code-point order, null last, and weigh what ``weights`` says of their place from 0 on. A target over
+    ``most_epochs`` times its source's size is cut to that, and what is left is shared out again among the others by weight
+    until none is above: in order of size by weight the cut ones come first, so prefix sums tell them. One row for each
+    source passes through one task.
     """
-    names = sorted(sizes, key=lambda n: (n is None, n or ""))
-    weigh = dict(zip(names, weights(names) if weights else cycle((5, 2, 1)), strict=False))
-    targets: dict[str | None, float] = {}
-    left, open_ = factor * sum(sizes.values()), names
-    while open_:
-        whole = sum(weigh[n] for n in open_)
-        above = [n for n in open_ if left * weigh[n] / whole > most_epochs * sizes[n]]
-        if not above:
-            targets |= {n: left * weigh[n] / whole for n in open_}
-            break
-        targets |= {n: float(most_epochs * sizes[n]) for n in above}
-        left -= sum(most_epochs * sizes[n] for n in above)
-        open_ = [n for n in open_ if n not in targets]
-    return targets
+    every, cap = W.partitionBy(), most_epochs * F.col("source_size")
+    placed = sizes.withColumn("weight", weights(F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1))
+    ahead = W.orderBy(cap / F.col("weight").cast("double"), F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumns({
+        "whole": factor * F.sum("source_size").over(every), "weighs": F.sum("weight").over(every),
+        "caps": F.coalesce(F.sum(cap).over(ahead), F.lit(0)), "gone": F.coalesce(F.sum("weight").over(ahead), F.lit(0)),
+    })
+    placed = placed.withColumn("above", (F.col("whole") - F.col("caps")) * F.col("weight") / (F.col("weighs") - F.col("gone")) > cap)
+    left = F.col("whole") - F.sum(F.when(F.col("above"), cap).otherwise(0)).over(every)
+    open_ = F.col("weighs") - F.sum(F.when(F.col("above"), F.col("weight")).otherwise(0)).over(every)
+    return placed.select("source", "source_size", F.when(F.col("above"), cap.cast("double")).otherwise(F.try_divide(left * F.col("weight").cast("double"), open_)).alias("target"))
 
 
 def random_key(ident: str, seed: str) -> Column:
@@ -75,20 +75,15 @@ def mixed(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: st
         .withColumn("piece", F.substring("mix_key", 1, digits))
     )
     totals = slim.groupBy("source", "piece").agg(F.sum("size").alias("piece_size"))
-    by_source = slim.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(by_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["source"]: int(r["n"]) for r in by_source}
-    targets = shares(sizes, **plan)
-    budget = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "b_source string, source_size long, target double")
-    # a row for each source, MOST_SOURCES at most
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    budget = Scratch(spark).store(shares(sizes, **plan)).select(F.col("source").alias("b_source"), "source_size", "target")
     ahead = W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("piece_size").over(ahead), F.lit(0))).select(F.col("source").alias("o_source"), F.col("piece").alias("o_piece"), "offset")
     running = W.partitionBy("source", "piece").orderBy("mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         slim.withColumn("inside", F.coalesce(F.sum("size").over(running), F.lit(0)))
         .join(offsets, _same(F.col("source"), F.col("o_source")) & (F.col("piece") == F.col("o_piece")))
-        .join(F.broadcast(budget), _same(F.col("source"), F.col("b_source")))
+        .join(budget, _same(F.col("source"), F.col("b_source")))
         .withColumn("before", F.col("offset") + F.col("inside"))
     )
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -109,9 +104,8 @@ def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str
     rest = F.floor("target").cast("long") - epochs * F.col("source_size")
     inside = 2 * (rest - F.col("before")) >= F.greatest(F.col("size"), F.lit(1))
     c_source, c_epochs, c_key, key, times = (free_name(docs.columns, n) for n in ("_c_source", "_c_epochs", "_c_key", "_key", "_times"))
-    # a row for each source, MOST_SOURCES at most
-    cuts = found.groupBy(F.col("source").alias(c_source)).agg(F.max(epochs).alias(c_epochs), F.max(F.when(inside, F.col("mix_key"))).alias(c_key))
-    keyed = docs.withColumn(key, random_key(ident, seed)).join(F.broadcast(cuts), _same(F.col(source), F.col(c_source)))
+    cuts = Scratch(docs.sparkSession).store(found.groupBy(F.col("source").alias(c_source)).agg(F.max(epochs).alias(c_epochs), F.max(F.when(inside, F.col("mix_key"))).alias(c_key)))
+    keyed = docs.withColumn(key, random_key(ident, seed)).join(cuts, _same(F.col(source), F.col(c_source)))
     count = F.col(c_epochs) + F.coalesce((F.col(key) <= F.col(c_key)).cast("long"), F.lit(0))
     copies = F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))
     return keyed.withColumn(times, count).where(F.col(times) > 0).withColumn(times, copies).select(*docs.columns)
