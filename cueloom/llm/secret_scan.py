@@ -1,9 +1,9 @@
 """Secret scans with multipart credential linking.
 
 Strong patterns (assignments, access keys, long hex) always report. Beyond them each text has weak parts: identifiers,
-secrets and endpoints that mean nothing alone. Within a scope - a paragraph, and no farther than REACH characters - weak
-parts are interval-joined with complementary parts: an identifier is reported beside a secret, a secret beside an
-identifier or an endpoint. The join sweeps each kind's sorted intervals, so its cost is n log n in a text's parts.
+secrets and endpoints that mean nothing alone. Within a scope - a paragraph - weak parts are interval-joined with
+complementary parts: an identifier is reported where a secret is, a secret where an identifier or an endpoint is. Scopes
+don't overlap, so each part is placed in its scope by its start, and the cost is n log n in a text's parts.
 
 An RE2 pass over whole Arrow columns first finds the texts in which anything can match; only those reach the patterns with
 positions. It passes every text that holds a strong match or a weak secret, and no weak part reports without a secret.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,9 +22,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from cueloom.llm.common import small_batches
 
-#: Characters between complementary parts at most.
-REACH = 240
-
 KEYWORDS = "password|passwd|secret|token|api_?key"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -54,16 +51,9 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any("a" <= c <= "z" for c in token) and any("A" <= c <= "Z" for c in token) and len(set(token)) >= 10
 
 
-def _near(span: tuple[int, int], others: list[tuple[int, int]], scope: tuple[int, int]) -> bool:
-    """Whether another interval of the sorted, disjoint ``others`` is within REACH in the same scope."""
-    at = bisect_left(others, span)
-    beside = [x for x in others[max(0, at - 2) : at + 2] if x != span]
-    return any(scope[0] <= a and b <= scope[1] and max(a - span[1], span[0] - b) <= REACH for a, b in beside)
-
-
 def linked(text: str, sure: list[Span]) -> list[Span]:
     """Weak identifiers and secrets that a complementary part accompanies, outside the strong spans."""
-    taken = sorted((a, b) for _, a, b in sure)
+    taken = _merged([(a, b) for _, a, b in sure])
 
     def free(a: int, b: int) -> bool:
         at = bisect_left(taken, (a, a))
@@ -75,18 +65,25 @@ def linked(text: str, sure: list[Span]) -> list[Span]:
     if not weak_secrets and not sure:
         return []
     weak_ids = _disjoint([(m.start(), m.end()) for m in WEAK_ID.finditer(text) if free(m.start(), m.end())])
-    ids = sorted(weak_ids + [(a, b) for k, a, b in sure if k == "access"])
-    known = sorted(weak_secrets + [(a, b) for k, a, b in sure if k != "access"])
-    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    cuts = [0, *[m.start() for m in PARAGRAPH.finditer(text)], len(text)]
+    cuts = [m.start() for m in PARAGRAPH.finditer(text)]
+    scope = lambda a: bisect_right(cuts, a)
+    ids = {scope(a) for a, _ in weak_ids} | {scope(a) for k, a, _ in sure if k == "access"}
+    known = {scope(a) for a, _ in weak_secrets} | {scope(a) for k, a, _ in sure if k != "access"}
+    ends = {scope(m.start()) for m in ENDPOINT.finditer(text)}
+    out = [("weak_id", a, b) for a, b in weak_ids if scope(a) in known]
+    out += [("weak_secret", a, b) for a, b in weak_secrets if scope(a) in ids | ends]
+    return sorted(out, key=lambda s: (s[1], s[0]))
 
-    def scope(a: int) -> tuple[int, int]:
-        at = bisect_left(cuts, a + 1)
-        return cuts[at - 1], cuts[min(at, len(cuts) - 1)]
 
-    out = [("weak_id", a, b) for a, b in weak_ids if _near((a, b), known, scope(a))]
-    out += [("weak_secret", a, b) for a, b in weak_secrets if _near((a, b), ids, scope(a)) or _near((a, b), ends, scope(a))]
-    return sorted(out, key=lambda s: (s[1], s[0]))
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover, sorted and disjoint; spans may overlap or hold one another."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
