@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cueloom.llm.common import let, offsets
+
 START, BODY, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>\n"
 
 
@@ -51,18 +53,10 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         .otherwise(F.concat(F.lit(END + START), x["role"], F.lit(BODY)))
     )
     pieces = grouped.select("conv_id", F.transform("turns", lambda x, i: F.struct(head(x, i).alias("head"), x["text"].alias("text"), x["learn"].alias("learn"))).alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["text"])).alias("at"),
-            F.when(
-                p["learn"],
-                F.array_append(acc["spans"], F.struct((acc["at"] + F.length(p["head"])).alias("start"), (acc["at"] + F.length(p["head"]) + F.length(p["text"])).alias("end"))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    span = lambda p, at: F.struct((at + F.length(p["head"])).alias("start"), (at + F.length(p["head"]) + F.length(p["text"])).alias("end"), p["learn"].alias("learn"))
+    long_ = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["text"]))
+    every = let(offsets(long_), lambda at: F.transform("pieces", lambda p, i: span(p, F.get(at, i))))
+    spans = F.transform(F.filter(every, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     joined = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"])), ""), F.lit(END))
     return pieces.select("conv_id", joined.alias("formatted"), spans.alias("loss_spans"))
 

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,6 +26,31 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, x: a + x)
+
+
+def offsets(lengths: Column) -> Column:
+    """array<int>: for each of ``lengths`` (array<int>) the sum of those before it.
+
+    An accumulator that grows would be copied at each step. So lengths are summed in blocks of 256: the work of an array of n
+    is 128 n + (n / 256) ** 2 / 2 additions, seconds for a million.
+    """
+    size = 256
+
+    def of(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / size).cast("int")), lambda j: _sum(F.slice(all_, j * size + 1, F.lit(size))))
+        starts = let(blocks, lambda sums: F.transform(sums, lambda _, j: _sum(F.slice(sums, F.lit(1), j))))
+        return let(starts, lambda at: F.transform(all_, lambda _, i: F.get(at, F.floor(i / size).cast("int")) + _sum(F.slice(all_, i - i % size + 1, i % size))))
+
+    return let(lengths, lambda all_: F.when(F.size(all_) > 0, of(all_)).otherwise(all_))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 

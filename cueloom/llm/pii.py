@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cueloom.llm.common import free_name
+from cueloom.llm.common import free_name, let, offsets
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -180,12 +179,12 @@ class Selector:
         return " + ".join(f"({t.sql(names)})" for t in self.trees)
 
 
-_fitted: dict[int, Selector] = {}
+_fitted: dict[tuple[int, float], Selector] = {}
 
 
 def selector(spark, precision: float = 0.98, seed: int = 5) -> Selector:
     """Trees over the template examples; limits are the least log odds with this precision on the third set aside."""
-    if seed not in _fitted:
+    if (seed, precision) not in _fitted:
         data = _features(spark.createDataFrame(examples(seed), "kind string, hit string, before string, after string, luhn boolean, label int"))
         x, y = data[:, :-1], data[:, -1]
         cut = 2 * len(y) // 3
@@ -200,28 +199,18 @@ def selector(spark, precision: float = 0.98, seed: int = 5) -> Selector:
                 if good >= precision * (i + 1) and (i + 1 == len(ranked) or ranked[i + 1][0] < score):
                     limit = score
             limits[kind] = max(limit, 0.0)
-        _fitted[seed] = Selector(tuple(trees), limits)
-    return _fitted[seed]
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+        _fitted[seed, precision] = Selector(tuple(trees), limits)
+    return _fitted[seed, precision]
 
 
 def found_spans(text: Column, pattern: str) -> Column:
     """array<struct<a:int,b:int,hit:string>> of all matches: code points, end exclusive."""
     empty = F.expr("cast(array() as array<struct<a:int,b:int,hit:string>>)")
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    walked = F.aggregate(
-        F.filter(pairs, lambda p: p["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
-            F.array_append(acc["spans"], F.struct((acc["at"] + F.length(p["gap"])).alias("a"), (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("b"), p["hit"].alias("hit"))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    span = lambda p, at: F.struct((at + F.length(p["gap"])).alias("a"), (at + F.length(p["gap"]) + F.length(p["hit"])).alias("b"), p["hit"].alias("hit"))
+    long_ = lambda found: F.transform(found, lambda p: F.length(p["gap"]) + F.length(p["hit"]))
+    placed = lambda found: let(offsets(long_(found)), lambda at: F.transform(found, lambda p, i: span(p, F.get(at, i))))
+    walked = let(F.filter(pairs, lambda p: p["hit"].isNotNull()), placed)
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 

@@ -281,13 +281,34 @@ def test_pii_adds_by_context(spark):
     assert all(np.isfinite(v) for v in kinds.limits.values())
 
 
+def test_pii_of_very_many_matches(spark):
+    began = time.time()
+    got = pii.scan(documents(spark, ["12 a " * 40_000 + "a@b.c"])).first()
+    assert got.n_email == 1 and got.spans.startswith("email:200000:200005") and time.time() - began < 60
+
+
 # 6
 
 
-def test_shares():
-    got = mixing.shares({"a": 100, "b": 100, None: 100})
+def test_shares(spark):
+    def told(sizes):
+        return {r.source: r.target for r in mixing.shares(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+
+    got = told({"a": 100, "b": 100, None: 100})
     assert got["a"] == 200.0 and abs(sum(got.values()) - 450) < 1e-9 and abs(got["b"] - 2 * got[None]) < 1e-9
-    assert mixing.shares({}) == {} and mixing.shares({"a": 0}) == {"a": 0.0}
+    assert told({}) == {} and told({"a": 0}) == {"a": 0.0}
+    some = random.Random(12)
+    sizes = {f"s{k:02}": some.randrange(0, 400) for k in range(40)}
+    want, left, open_ = {}, 1.5 * sum(sizes.values()), sorted(sizes)
+    weigh = dict(zip(open_, itertools.cycle((5, 2, 1)), strict=False))
+    while True:
+        above = [n for n in open_ if left * weigh[n] / sum(weigh[m] for m in open_) > 2 * sizes[n]]
+        if not above:
+            want |= {n: left * weigh[n] / sum(weigh[m] for m in open_) for n in open_}
+            break
+        want |= {n: 2.0 * sizes[n] for n in above}
+        left, open_ = left - sum(2 * sizes[n] for n in above), [n for n in open_ if n not in above]
+    assert told(sizes) == pytest.approx(want)
 
 
 def test_mixing(spark):
@@ -506,9 +527,25 @@ def test_chats_read_back(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chats_of_very_many_turns(spark):
+    rows = spark.range(40_000).selectExpr("cast(1 as long) conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('t', id) text")
+    began = time.time()
+    got = chat.format_chats(rows).select(F.size("loss_spans").alias("n"), chat.loss_text(F.col("formatted"), F.slice("loss_spans", 19_999, 2)).alias("last")).first()
+    assert tuple(got) == (20_000, "t39997t39999") and time.time() - began < 30
+
+
 # 9
 
 
+def test_credentials_link_in_their_whole_paragraph():
+    inner = "secret=" + "x".join(["0123456789abcdef" * 2] * 3) + "y" * 200
+    for between in (" ", " word" * 200):
+        text = f"{inner}{between} client_id: abcd1234"
+        assert any(k == "weak_id" for k, _, _ in secret_scan.linked(text, secret_scan.strong(text)))
+    text = f"{inner}\n\n client_id: abcd1234"
+    assert not secret_scan.linked(text, secret_scan.strong(text))
+
+
 def brute_secrets(text):
     found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
     found += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
