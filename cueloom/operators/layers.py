@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -12,6 +13,8 @@ from cueloom.functions.timing import before, same_time
 from cueloom.operators.findings import finding, union
 
 MAX_UNITS, TARGET_UNITS, MAX_ENGLISH, SHORTEST_S, FASTEST = 24, 16, 84, 5 / 6, 9
+#: Seconds by which times that count as equal may differ.
+EPSILON = 0.002
 
 
 def timeline_issues(cues: DataFrame) -> DataFrame:
@@ -102,39 +105,41 @@ def members_by_parent(masters: DataFrame, children: DataFrame) -> DataFrame:
 def members_by_time(masters: DataFrame, children: DataFrame) -> DataFrame:
     """(track_id, kind, parent, child) by containment in time, for layers edited elsewhere.
 
-    One ordered pass over a track's parents and children: a child is consumed once, one that begins early is outside, one that
-    ends late is a member and outside, and what is left at the end is extra. The pass depends on its own past where parents
-    overlap, so a track (at most 20,000 cues) is one group. kind is member, early, late or extra; extra rows have no parent.
+    Parents take children in order of number. A parent's share of the children that are left ends with the first that ends
+    where it does, or before the first that begins behind it; in the share, one that begins too early is outside, and one that
+    ends too late is a member and outside. Children that no parent's share holds are extra. Shares depend on those before them
+    where parents overlap, so a track (at most 20,000 cues) is one group; each share is one search over arrays. kind is
+    member, early, late or extra; extra rows have no parent.
     """
 
-    def walk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near = lambda a, b: abs(a / 1000 - b / 1000) <= 0.002
-        inner = right.sort_values("cue")[["cue", "start_ms", "end_ms"]].to_numpy().tolist()
-        out, at = [], 0
-        for parent, start, end in left.sort_values("cue")[["cue", "start_ms", "end_ms"]].to_numpy().tolist():
-            while at < len(inner):
-                cue, a, b = inner[at]
-                if a / 1000 < start / 1000 - 0.002:
-                    out.append(("early", None, cue))
-                    at += 1
-                    continue
-                if a / 1000 >= end / 1000 - 0.002 and not near(a, start):
+    def shares(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        inner, outer = right.sort_values("cue"), left.sort_values("cue")
+        number, begin, finish = inner["cue"].to_numpy(), inner["start_ms"].to_numpy() / 1000, inner["end_ms"].to_numpy() / 1000
+        parts, low = [], 0
+        for parent, start, end in zip(outer["cue"], outer["start_ms"] / 1000, outer["end_ms"] / 1000, strict=True):
+            width = 16
+            while True:
+                a, b = begin[low : low + width], finish[low : low + width]
+                early = a < start - EPSILON
+                behind = ~early & (a >= end - EPSILON) & (np.abs(a - start) > EPSILON)
+                ends = np.flatnonzero(behind | ~early & (np.abs(b - end) <= EPSILON))
+                if len(ends) or low + width >= len(begin):
                     break
-                if b / 1000 > end / 1000 + 0.002:
-                    out.append(("late", parent, cue))
-                out.append(("member", parent, cue))
-                at += 1
-                if near(b, end):
-                    break
-        if at < len(inner):
-            out.append(("extra", None, None))
-        made = pd.DataFrame(out, columns=["kind", "parent", "child"]).astype({"parent": "Int32", "child": "Int32"})
+                width *= 2
+            size = len(a) if not len(ends) else ends[0] + (not behind[ends[0]])
+            own, early = number[low : low + size], early[:size]
+            late = ~early & (b[:size] > end + EPSILON)
+            parts += [("early", None, c) for c in own[early]] + [("late", parent, c) for c in own[late]] + [("member", parent, c) for c in own[~early]]
+            low += size
+        if low < len(number):
+            parts.append(("extra", None, None))
+        made = pd.DataFrame(parts, columns=["kind", "parent", "child"]).astype({"parent": "Int32", "child": "Int32"})
         made.insert(0, "track_id", (left if len(left) else right)["track_id"].iloc[0])
         return made
 
     keep = lambda d: d.select("track_id", "cue", "start_ms", "end_ms").groupBy("track_id")
     kind = masters.schema["track_id"].dataType.simpleString()
-    return keep(masters).cogroup(keep(children)).applyInPandas(walk, f"track_id {kind}, kind string, parent int, child int")
+    return keep(masters).cogroup(keep(children)).applyInPandas(shares, f"track_id {kind}, kind string, parent int, child int")
 
 
 def segmentation_issues(masters: DataFrame, children: DataFrame, members: DataFrame, check: str = "readable", prefix: str = "readable", compare: Callable[[Column], Column] | None = None, joiner: str = "") -> DataFrame:
