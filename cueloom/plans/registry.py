@@ -190,15 +190,10 @@ FITS = ", fits AS (SELECT * FROM cue WHERE track_id NOT IN (SELECT track_id FROM
 
 @query(
     "srt_write",
-    _with(FITS) + f"SELECT track_id, sha256(string_agg(CAST(cue AS VARCHAR) || chr(10) || {SRT_SQL.format('start_ms')} || ' --> ' || {SRT_SQL.format('end_ms')} || chr(10) || trim(regexp_replace(text, '[ \\t]+', ' ', 'g')), chr(10) || chr(10) ORDER BY cue) || chr(10)) AS digest FROM fits GROUP BY 1",
+    _with() + f"SELECT track_id, sha256(string_agg(CAST(cue AS VARCHAR) || chr(10) || {SRT_SQL.format('start_ms')} || ' --> ' || {SRT_SQL.format('end_ms')} || chr(10) || trim(regexp_replace(text, '[ \\t]+', ' ', 'g')), chr(10) || chr(10) ORDER BY cue) || chr(10)) AS digest FROM cue GROUP BY 1",
 )
 def srt_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writers.srt_bodies(_fitting(V.cues(spark, sf_dir))).select("track_id", F.sha2("body", 256).alias("digest"))
-
-
-def _fitting(cues: DataFrame) -> DataFrame:
-    long_ = cues.where(F.length("text") > 4000).select("track_id").distinct()
-    return cues.join(long_, "track_id", "left_anti")
+    return writers.srt_bodies(V.cues(spark, sf_dir)).select("track_id", F.sha2("body", 256).alias("digest"))
 
 
 SCAN_SQL = _with(FITS) + "SELECT track_id, CAST(cue AS INT) AS cue, start_ms, end_ms, trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS text FROM fits"
@@ -232,24 +227,8 @@ def ass_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.read_ass(bodies).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
 
 
-@query(
-    "json3_scan",
-    _with()
-    + """, ev AS (SELECT track_id, cue, start_ms, lead(start_ms) OVER (PARTITION BY track_id ORDER BY start_ms, cue) AS nxt, text FROM cue WHERE length(text) <= 70)
-    SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY start_ms, cue) AS INT) AS cue, start_ms,
-           CASE WHEN cue % 2 = 0 THEN start_ms + 1500 WHEN nxt > start_ms THEN nxt ELSE start_ms + 2000 END AS end_ms, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM ev""",
-)
+@query("json3_scan")
 def json3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.cues(spark, sf_dir).where(F.length("text") <= 70)
-    half = F.floor(F.length("text") / 2).cast("int")
-    segs = F.array(F.struct(F.substr("text", F.lit(1), half).alias("utf8")), F.struct(F.substr(F.col("text"), half + 1, F.lit(100)).alias("utf8")))
-    event = F.struct(F.col("start_ms").alias("tStartMs"), F.when(F.col("cue") % 2 == 0, F.lit(1500)).alias("dDurationMs"), segs.alias("segs"))
-    bodies = rows.groupBy("track_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("cue", event.alias("e")))), lambda x: x["e"]).alias("events"))).alias("body"))
-    return captions.read_json3(bodies, most_seconds=1e9).cues.select("track_id", "cue", "start_ms", "end_ms", "text")
-
-
-@query("json3_scan_whole")
-def json3_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues of every length as events of two segments, under the reader's own limits; checked against brute force in the tests."""
     half = F.floor(F.length("text") / 2).cast("int")
     segs = F.array(F.struct(F.substr("text", F.lit(1), half).alias("utf8")), F.struct(F.substr(F.col("text"), half + 1, F.length("text")).alias("utf8")))
@@ -353,9 +332,9 @@ def rarest_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.anchored(_shared_forms(spark, sf_dir)).select("pos", "form_pos", "anchor")
 
 
-def _track_terms(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Cues of every 20th track, or of all with ``whole``, their translation, and the shared terms as each track's glossary and decisions."""
-    cues = V.cues(spark, sf_dir).where("true" if whole else "track_id % 20 = 3")
+def _track_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cues, their translation, and the shared terms as each track's glossary and decisions."""
+    cues = V.cues(spark, sf_dir)
     shared = V.terms(spark, sf_dir).withColumn("project", F.lit(1))
     tracks = cues.select("track_id").distinct().withColumn("project", F.lit(1))
     mine = T.for_tracks(shared, tracks)
@@ -364,8 +343,6 @@ def _track_terms(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple
     return cues, V.translated(cues), mine.where("scope = 'project'"), decisions
 
 
-#: What narrows the SQL of the terminology queries to every 20th track.
-SOME_TRACKS = " WHERE track_id % 20 = 3"
 TRACK_TERM = """,
 dec AS (SELECT pos, CASE WHEN pos % 7 = 0 THEN upper(en) ELSE en END AS en, upper(target) AS target FROM term WHERE scope = 'job' OR pos % 7 = 0),
 pform AS (SELECT * FROM form WHERE scope = 'project'),
@@ -373,7 +350,7 @@ covered AS (SELECT pos, count(*) AS c FROM pform p WHERE exact_case AND EXISTS (
 active AS (SELECT * FROM pform WHERE pos NOT IN (SELECT pos FROM covered JOIN (SELECT pos, count(*) AS n FROM pform GROUP BY pos) USING (pos) WHERE c = n))"""
 
 
-SHADOWING_SQL = _with(TERM, TRACK_TERM) + "SELECT c.track_id, a.pos, a.en, false AS is_job FROM (SELECT DISTINCT track_id FROM cue WHERE track_id % 20 = 3) c, (SELECT DISTINCT pos, en FROM active) a UNION ALL SELECT c.track_id, d.pos, d.en, true FROM (SELECT DISTINCT track_id FROM cue WHERE track_id % 20 = 3) c, dec d"
+SHADOWING_SQL = _with(TERM, TRACK_TERM) + "SELECT c.track_id, a.pos, a.en, false AS is_job FROM (SELECT DISTINCT track_id FROM cue) c, (SELECT DISTINCT pos, en FROM active) a UNION ALL SELECT c.track_id, d.pos, d.en, true FROM (SELECT DISTINCT track_id FROM cue) c, dec d"
 
 
 @query("term_shadowing", SHADOWING_SQL)
@@ -382,15 +359,9 @@ def term_shadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.active_terms(glossary, decisions).select("track_id", "pos", "en", "is_job")
 
 
-@query("term_shadowing_whole", SHADOWING_SQL.replace(SOME_TRACKS, ""))
-def term_shadowing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, glossary, decisions = _track_terms(spark, sf_dir, whole=True)
-    return T.active_terms(glossary, decisions).select("track_id", "pos", "en", "is_job")
-
-
 MISSING_SQL = (
     _with(TERM, TRACK_TERM, ", " + OTHER.lstrip(",\n"))
-    + """, mine AS (SELECT * FROM cue WHERE track_id % 20 = 3), words AS (SELECT track_id, cue, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS tok FROM mine),
+    + """, mine AS (SELECT * FROM cue), words AS (SELECT track_id, cue, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS tok FROM mine),
     jobhit AS (SELECT DISTINCT w.track_id, w.cue, d.pos, d.en, d.target FROM words w JOIN dec d ON w.tok = d.en),
     prohit AS (SELECT DISTINCT w.track_id, w.cue, a.pos, a.en, a.target FROM words w JOIN active a ON (a.exact_case AND w.tok = a.form) OR (NOT a.exact_case AND lower(w.tok) = lower(a.form))
                WHERE NOT EXISTS (SELECT 1 FROM jobhit j WHERE j.track_id = w.track_id AND j.cue = w.cue AND j.en = w.tok)),
@@ -406,16 +377,10 @@ def missing_active_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
 
 
-@query("missing_active_terms_whole", MISSING_SQL.replace(SOME_TRACKS, ""))
-def missing_active_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.missing_terms(*_track_terms(spark, sf_dir, whole=True))
-    return found.select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
-
-
-def _candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Term words as the candidates of one track, or of each with ``whole``, that cite cues pos % 9 + 1 and pos; decisions for all but each fifth."""
-    cues = V.cues(spark, sf_dir).where("true" if whole else "track_id = 3")
-    base = T.for_tracks(V.terms(spark, sf_dir).withColumn("project", F.lit(1)), cues.select("track_id").distinct().withColumn("project", F.lit(1))) if whole else V.terms(spark, sf_dir).withColumn("track_id", F.lit(3).cast("long"))
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Term words as each track's candidates, which cite cues pos % 9 + 1 and pos; decisions for all but each fifth."""
+    cues = V.cues(spark, sf_dir)
+    base = T.for_tracks(V.terms(spark, sf_dir).withColumn("project", F.lit(1)), cues.select("track_id").distinct().withColumn("project", F.lit(1)))
     cited = base.withColumn("cues", F.array((F.col("pos") % 9 + 1).cast("int"), F.col("pos").cast("int")))
     decided = base.where("pos % 5 <> 0").withColumns({"approval": F.when(F.col("pos") % 6 == 0, "review-required").otherwise("approved"), "aliases": F.when(F.col("pos") % 8 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.col("aliases"))})
     return cited, decided, cues
@@ -424,20 +389,6 @@ def _candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[
 @query(
     "candidate_issues",
     _with(TERM)
-    + """, mine AS (SELECT * FROM cue WHERE track_id = 3), cited AS (SELECT DISTINCT pos, en, unnest([pos % 9 + 1, pos]) AS c FROM term),
-    ev AS (SELECT DISTINCT pos, cue FROM hit WHERE track_id = 3)
-    SELECT 'error' AS severity, 'term_candidate_range' AS code, CAST(NULL AS INT) AS cue, en FROM cited WHERE c NOT IN (SELECT cue FROM mine)
-    UNION ALL SELECT 'error', 'term_candidate_evidence', CAST(c AS INT), en FROM cited WHERE c IN (SELECT cue FROM mine) AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.pos = cited.pos AND ev.cue = cited.c)
-    UNION ALL SELECT 'error', CASE WHEN pos % 5 = 0 OR (pos % 8 = 0 AND len(aliases) > 0 AND exact_case) THEN 'candidate_without_decision' ELSE 'term_unresolved' END, NULL, en FROM term
-    WHERE pos % 5 = 0 OR (pos % 8 = 0 AND len(aliases) > 0 AND exact_case) OR pos % 6 = 0""",
-)
-def candidate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.candidate_issues(*_candidates(spark, sf_dir)).select("severity", "code", "cue", F.col("details")["en"].alias("en"))
-
-
-@query(
-    "candidate_issues_whole",
-    _with(TERM)
     + """, tracks AS (SELECT DISTINCT track_id FROM cue), cited AS (SELECT DISTINCT track_id, pos, en, unnest([pos % 9 + 1, pos]) AS c FROM term, tracks),
     located AS (SELECT d.*, m.cue IS NOT NULL AS there FROM cited d LEFT JOIN cue m ON m.track_id = d.track_id AND m.cue = d.c), ev AS (SELECT DISTINCT track_id, pos, cue FROM hit),
     unsettled AS (SELECT en, CASE WHEN pos % 5 = 0 OR (pos % 8 = 0 AND len(aliases) > 0 AND exact_case) THEN 'candidate_without_decision' ELSE 'term_unresolved' END AS code FROM term
@@ -446,15 +397,15 @@ def candidate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT l.track_id, 'error', 'term_candidate_evidence', CAST(c AS INT), en FROM located l LEFT JOIN ev ON ev.track_id = l.track_id AND ev.pos = l.pos AND ev.cue = l.c WHERE there AND ev.pos IS NULL
     UNION ALL SELECT track_id, 'error', code, NULL, en FROM unsettled, tracks""",
 )
-def candidate_issues_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.candidate_issues(*_candidates(spark, sf_dir, whole=True)).select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
+def candidate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.candidate_issues(*_candidates(spark, sf_dir)).select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
 
 
-@query("application_issues", _with(TERM) + "SELECT 'project_term_not_applied' AS code, en FROM term WHERE scope = 'project' AND pos % 5 <> 0 AND pos % 6 <> 0 AND pos % 9 = 0")
+@query("application_issues", _with(TERM) + "SELECT track_id, 'project_term_not_applied' AS code, en FROM term, (SELECT DISTINCT track_id FROM cue) t WHERE scope = 'project' AND pos % 5 <> 0 AND pos % 6 <> 0 AND pos % 9 = 0")
 def application_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, decided, _ = _candidates(spark, sf_dir)
-    glossary = V.terms(spark, sf_dir).withColumn("track_id", F.lit(3).cast("long")).withColumn("target", F.when(F.col("pos") % 9 == 0, "other").otherwise(F.col("target")))
-    return T.application_issues(decided, glossary).select("code", F.col("details")["en"].alias("en"))
+    cited, decided, _ = _candidates(spark, sf_dir)
+    glossary = cited.drop("cues").withColumn("target", F.when(F.col("pos") % 9 == 0, "other").otherwise(F.col("target")))
+    return T.application_issues(decided, glossary).select("track_id", "code", F.col("details")["en"].alias("en"))
 
 
 @query("latin_issues", _with(TERM) + """, ok AS (SELECT lower(target) AS w FROM term), said AS (SELECT track_id, cue, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+'))) AS w FROM cue)
@@ -466,18 +417,18 @@ def latin_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(L.latin_issues(cues, targets))
 
 
-def _raw_terms(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Parts, the first 300 or with ``whole`` all, as a raw glossary: names of parts, with repeats among them."""
+def _raw_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a raw glossary: names of parts, with repeats among them."""
     parts = V.table(spark, sf_dir, "part")
     none = F.lit(None).cast("string")
-    return parts.where("true" if whole else "p_partkey <= 300").select(
+    return parts.select(
         F.floor(F.col("p_partkey") / 100).cast("long").alias("track_id"), F.col("p_partkey").alias("pos"), none.alias("id"), F.concat(F.lit("  "), F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("en"),
         F.array(F.concat(F.col("p_name"), F.lit(" ")), F.upper("p_name"), F.col("p_name")).alias("aliases"), F.when(F.col("p_partkey") % 2 == 0, F.lit(False)).alias("case_sensitive"), F.when(F.col("p_partkey") % 10 != 0, F.lower("p_name")).alias("target"),
         none.alias("category"), none.alias("approval"), none.alias("scope"), none.alias("status"), F.when(F.col("p_partkey") % 3 == 0, "because").alias("rationale"),
     )
 
 
-RAW = """WITH raw AS (SELECT p_partkey // 100 AS track_id, p_partkey AS pos, p_type || ' ' || p_brand AS en, p_name, p_partkey % 2 = 1 AS exact_case, p_partkey % 10 <> 0 AS has_target, p_partkey % 3 = 0 AS because FROM part WHERE p_partkey <= 300),
+RAW = """WITH raw AS (SELECT p_partkey // 100 AS track_id, p_partkey AS pos, p_type || ' ' || p_brand AS en, p_name, p_partkey % 2 = 1 AS exact_case, p_partkey % 10 <> 0 AS has_target, p_partkey % 3 = 0 AS because FROM part),
 al AS (SELECT *, CASE WHEN exact_case AND upper(p_name) <> p_name THEN [p_name, upper(p_name)] ELSE [p_name] END AS aliases FROM raw),
 sl AS (SELECT *, substr(regexp_replace(regexp_replace(lower(en), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS slug FROM al)"""
 
@@ -508,31 +459,6 @@ def glossary_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track_id", "severity", F.col("details")["reason"].alias("reason"), F.col("seq").cast("long").alias("seq"))
 
 
-#: What narrows the SQL of the raw glossary to 300 parts.
-SOME_PARTS = " WHERE p_partkey <= 300"
-
-
-@query("normalised_terms_whole", ORACLES["normalised_terms"].replace(SOME_PARTS, ""))
-def normalised_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.normalised_terms(_raw_terms(spark, sf_dir, whole=True)).select("track_id", "pos", "id", "en", F.array_join("aliases", "|").alias("aliases"), "case_sensitive", "code")
-
-
-@query("form_conflicts_whole", ORACLES["form_conflicts"].replace(SOME_PARTS, ""))
-def form_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.form_conflicts(G.normalised_terms(_raw_terms(spark, sf_dir, whole=True)))
-
-
-@query("term_ids_whole", ORACLES["term_ids"].replace(SOME_PARTS, ""))
-def term_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.term_ids(_raw_terms(spark, sf_dir, whole=True))
-
-
-@query("glossary_lint_whole", ORACLES["glossary_lint"].replace(SOME_PARTS, ""))
-def glossary_lint_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.lint(G.normalised_terms(_raw_terms(spark, sf_dir, whole=True)))
-    return found.select("track_id", "severity", F.col("details")["reason"].alias("reason"), F.col("seq").cast("long").alias("seq"))
-
-
 def _merge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nations as glossary, nations and regions as decisions: new targets for odd nations, regions added."""
     nation, region = V.table(spark, sf_dir, "nation"), V.table(spark, sf_dir, "region")
@@ -595,17 +521,12 @@ def review_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reused(R.batches(cues, other, 10), R.batches(before, other, 10), coverage).drop("input")
 
 
-WORDS_SQL = (_with() + """, w AS (SELECT track_id, cue, start_ms, end_ms, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS k FROM cue WHERE length(text) <= 300)
+WORDS_SQL = (_with() + """, w AS (SELECT track_id, cue, start_ms, end_ms, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS k FROM cue)
     SELECT track_id, CAST(cue AS INT) AS cue, CAST(k AS INT) AS k, word, round(start_ms + (end_ms - start_ms) * (sum(length(word)) OVER (PARTITION BY track_id, cue ORDER BY k) - length(word)) / sum(length(word)) OVER (PARTITION BY track_id, cue)::DOUBLE, 3) AS at_ms FROM w""")
 
 
 @query("word_timing", WORDS_SQL)
 def word_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _word_times(V.cues(spark, sf_dir).where(F.length("text") <= 300))
-
-
-@query("word_timing_whole", WORDS_SQL.replace(" WHERE length(text) <= 300", ""))
-def word_timing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _word_times(V.cues(spark, sf_dir))
 
 
