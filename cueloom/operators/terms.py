@@ -41,15 +41,17 @@ def token_frequencies(rows: DataFrame, text: str = "fold") -> DataFrame:
     return rows.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def anchored(listed: DataFrame) -> DataFrame:
+def anchored(listed: DataFrame, *keys: str) -> DataFrame:
     """Forms with ``anchor``: the rarest of their tokens among all forms, the longer and then the first in order of equal ones.
 
-    A form without letters or numbers has its first character, marked, as anchor.
+    ``keys`` tell forms apart (none given: track_id, pos, form_pos). A form without letters or numbers has its first
+    character, marked, as anchor.
     """
+    keys = keys or ("track_id", "pos", "form_pos")
     split = listed.withColumn("token", F.explode_outer(tokens(F.col("fold"))))
     counted = split.join(token_frequencies(listed).withColumnRenamed("token", "f_token"), F.col("token") == F.col("f_token"), "left")
-    best = counted.groupBy("track_id", "pos", "form_pos").agg(F.min_by("token", F.struct("n", -F.length("token"), "token")).alias("anchor"))
-    return listed.join(best, ["track_id", "pos", "form_pos"]).withColumn("anchor", F.coalesce("anchor", F.concat(F.lit("\u0001"), F.substring("fold", 1, 1))))
+    best = counted.groupBy(*keys).agg(F.min_by("token", F.struct("n", -F.length("token"), "token")).alias("anchor"))
+    return listed.join(best, list(keys)).withColumn("anchor", F.coalesce("anchor", F.concat(F.lit("\u0001"), F.substring("fold", 1, 1))))
 
 
 def with_forms(cues: DataFrame) -> DataFrame:
@@ -60,51 +62,62 @@ def with_forms(cues: DataFrame) -> DataFrame:
 def hits(cues: DataFrame, listed: DataFrame, shared: bool = False) -> DataFrame:
     """Forms that occur in cues: the cue's track_id, cue, nfkc with the form's columns.
 
-    An inverted index over the anchors finds candidates through an equi-join, and the pattern verifies them. With ``shared``
-    the forms hold for every track; else each form is looked for in its own track.
+    An inverted index over the anchors of the distinct wordings finds candidates through equi-joins of keys alone; the texts
+    of cues that have any are fetched once, and the pattern verifies them. With ``shared`` the forms hold for every track;
+    else each form is looked for in its own track. Cues without a track or number are in no track and not searched.
     """
-    indexed = with_forms(cues.select("track_id", "cue", "text"))
+    texts, wording = cues.select("track_id", "cue", "text"), ("norm", "fold", "exact_case")
     marks = F.transform(F.array_distinct(F.regexp_extract_all("folded", F.lit(r"[^\p{L}\p{N}\s]"), F.lit(0))), lambda c: F.concat(F.lit("\u0001"), c))
-    probes = indexed.select("track_id", "cue", "nfkc", "folded", F.explode(F.concat(tokens(F.col("folded")), marks)).alias("probe"))
-    wanted = anchored(listed).withColumnRenamed("track_id", "f_track")
-    on = F.col("probe") == F.col("anchor")
-    joined = probes.join(wanted, on if shared else on & (F.col("track_id") == F.col("f_track")))
+    probes = with_forms(texts).select("track_id", "cue", F.explode(F.concat(tokens(F.col("folded")), marks)).alias("probe"))
+    named = probes.join(anchored(listed.select(*wording).distinct(), *wording), F.col("probe") == F.col("anchor"))
+    same = [F.col(c) == F.col(f"f_{c}") for c in (wording if shared else ("track_id", *wording))]
+    owned = named.join(listed.select(*[F.col(c).alias(f"f_{c}") for c in listed.columns]), same)
+    form = F.struct(*[F.col(f"f_{c}").alias(c) for c in listed.columns if c != "track_id"])
+    may = owned.groupBy("track_id", "cue").agg(F.collect_set(form).alias("may"))
+    rows = with_forms(texts.join(may, ["track_id", "cue"])).select("track_id", "cue", "nfkc", "folded", F.explode("may").alias("f")).select("track_id", "cue", "nfkc", "folded", "f.*")
     verified = F.when(F.col("exact_case"), F.regexp_like("nfkc", term_pattern(F.col("norm")))).otherwise(F.regexp_like("folded", term_pattern(F.col("fold"))))
-    return joined.where(verified).drop("probe", "anchor", "f_track", "folded")
+    return rows.where(verified).drop("folded")
+
+
+def _covered(glossary: DataFrame, job: DataFrame, shared: bool = False) -> DataFrame:
+    """(track_id, pos): glossary terms all of whose forms the track's job terms cover."""
+    keys = ["pos"] if shared else ["track_id", "pos"]
+    g = forms(glossary).select(*keys, "form_pos", "norm", "fold", "exact_case")
+    j = forms(job).select(F.col("track_id").alias("j_track"), F.col("norm").alias("j_norm"), F.col("fold").alias("j_fold"), F.col("exact_case").alias("j_exact"))
+    same = (F.col("fold") == F.col("j_fold")) & covers(F.col("j_norm"), F.col("j_fold"), F.col("j_exact"), F.col("norm"), F.col("fold"), F.col("exact_case"))
+    met = g.join(j, same if shared else same & (F.col("track_id") == F.col("j_track")))
+    counted = met.groupBy("j_track", "pos").agg(F.size(F.collect_set("form_pos")).alias("c")).withColumnsRenamed({"j_track": "c_track", "pos": "c_pos"})
+    sizes = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    whole = (F.col("pos") == F.col("c_pos")) & (F.col("n") == F.col("c"))
+    return counted.join(sizes, whole if shared else whole & (F.col("track_id") == F.col("c_track"))).select(F.col("c_track").alias("track_id"), "pos")
 
 
 def active_terms(glossary: DataFrame, decisions: DataFrame) -> DataFrame:
     """Glossary terms that job decisions don't cover in every form, and those decisions; with ``is_job``."""
     job = decisions.where("approval = 'approved' and scope = 'job'")
-    g, j = forms(glossary), forms(job).select(F.col("track_id").alias("j_track"), F.col("norm").alias("j_norm"), F.col("fold").alias("j_fold"), F.col("exact_case").alias("j_exact"))
-    covered = g.join(j, (F.col("track_id") == F.col("j_track")) & (F.col("fold") == F.col("j_fold")) & covers(F.col("j_norm"), F.col("j_fold"), F.col("j_exact"), F.col("norm"), F.col("fold"), F.col("exact_case")), "left_semi")
-    gone = g.groupBy("track_id", "pos").agg(F.count(F.lit(1)).alias("n")).join(covered.groupBy("track_id", "pos").agg(F.count(F.lit(1)).alias("c")), ["track_id", "pos"]).where("n = c").select("track_id", "pos")
+    gone = _covered(glossary, job)
     columns = ["track_id", "pos", "en", "aliases", "case_sensitive", "target"]
     return glossary.join(gone, ["track_id", "pos"], "left_anti").select(*columns, F.lit(False).alias("is_job")).unionByName(job.select(*columns, F.lit(True).alias("is_job")))
 
 
-def missing_terms(source: DataFrame, translated: DataFrame, glossary: DataFrame, decisions: DataFrame) -> DataFrame:
+def missing_terms(source: DataFrame, translated: DataFrame, glossary: DataFrame, decisions: DataFrame, shared: bool = False) -> DataFrame:
     """Cues whose source has an active term while the translation lacks its target wording.
 
-    A job term that occurs in a cue overrides, occurrence by occurrence, what it covers of project terms there.
+    A job term that occurs in a cue overrides, occurrence by occurrence, what it covers of project terms there. With
+    ``shared`` the glossary holds for every track (its track_id doesn't matter) and isn't copied to them.
     """
-    active = active_terms(glossary, decisions)
-    listed = forms(active, "target", "is_job")
-    found = hits(source, listed)
-    job = listed.where("is_job").select(F.col("track_id").alias("o_track"), F.col("pos").alias("o_pos"), F.col("norm").alias("o_norm"), F.col("fold").alias("o_fold"), F.col("exact_case").alias("o_exact"))
-    here = found.where("is_job").select(F.col("track_id").alias("h_track"), F.col("cue").alias("h_cue"), F.col("pos").alias("h_pos")).distinct()
-    overrides = here.join(job, (F.col("h_track") == F.col("o_track")) & (F.col("h_pos") == F.col("o_pos"))).select("h_track", "h_cue", "o_norm", "o_fold", "o_exact")
-    touched = overrides.select(F.col("h_track").alias("track_id"), F.col("h_cue").alias("cue")).distinct()
-    project = found.where("not is_job")
-    seen = project.join(touched, ["track_id", "cue"], "left_semi").withColumn("o", F.explode(term_occurrences("nfkc", "norm", "exact_case")))
-    seen = seen.withColumn("o_folded", unicode_forms(F.col("o.exact"))["fold"])
-    open_ = seen.join(
-        overrides,
-        (F.col("track_id") == F.col("h_track")) & (F.col("cue") == F.col("h_cue")) & (F.col("o_folded") == F.col("o_fold")) & covers(F.col("o_norm"), F.col("o_fold"), F.col("o_exact"), F.col("o.exact"), F.col("o_folded"), F.lit(True)),
-        "left_anti",
-    )
-    keys = ["track_id", "cue", "pos", "is_job", "en", "target"]
-    needed = found.where("is_job").select(*keys).unionByName(project.join(touched, ["track_id", "cue"], "left_anti").select(*keys)).unionByName(open_.select(*keys)).distinct()
+    job = decisions.where("approval = 'approved' and scope = 'job'")
+    project = hits(source, forms(glossary, "target"), shared).join(_covered(glossary, job, shared), ["track_id", "pos"], "left_anti")
+    every = F.collect_list(F.struct("norm", "fold", "exact_case")).over(W.partitionBy("track_id", "pos"))
+    own = hits(source, forms(job, "target").withColumn("wordings", every))
+    none = F.lit(None).cast(own.schema["wordings"].dataType)
+    found = project.withColumns({"wordings": none, "is_job": F.lit(False)}).unionByName(own.withColumn("is_job", F.lit(True)))
+    rows = found.withColumn("overrides", F.flatten(F.collect_list("wordings").over(W.partitionBy("track_id", "cue"))))
+    free = F.col("is_job") | (F.size("overrides") == 0)
+    spans = term_occurrences(F.when(~free, F.col("nfkc")), F.col("norm"), F.col("exact_case"))
+    seen = rows.withColumn("o", F.explode_outer(spans)).withColumn("o_fold", unicode_forms(F.col("o.exact"))["fold"])
+    overridden = F.exists("overrides", lambda w: (w["fold"] == F.col("o_fold")) & covers(w["norm"], w["fold"], w["exact_case"], F.col("o.exact"), F.col("o_fold"), F.lit(True)))
+    needed = seen.where(free | (F.col("o").isNotNull() & ~overridden)).select("track_id", "cue", "pos", "is_job", "en", "target").distinct()
     said = translated.select(F.col("track_id").alias("t_track"), F.col("cue").alias("t_cue"), unicode_forms(F.col("text"))["nfc"].alias("said"))
     lacking = needed.join(said, (F.col("track_id") == F.col("t_track")) & (F.col("cue") == F.col("t_cue"))).where(~F.contains("said", unicode_forms(F.coalesce("target", F.lit("")))["nfc"]))
     return finding(lacking, "terminology", "error", "missing_active_term", F.col("cue"), F.lit(10_000) + F.col("pos") + F.when(F.col("is_job"), 100_000).otherwise(0), {"en": F.col("en"), "target": F.col("target")})

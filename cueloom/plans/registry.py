@@ -373,7 +373,9 @@ MISSING_SQL = (
 
 @query("missing_active_terms", MISSING_SQL)
 def missing_active_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.missing_terms(*_track_terms(spark, sf_dir))
+    cues, translated, _, decisions = _track_terms(spark, sf_dir)
+    project = V.terms(spark, sf_dir).where("scope = 'project'").withColumn("track_id", F.lit(None).cast("long"))
+    found = T.missing_terms(cues, translated, project, decisions, shared=True)
     return found.select("track_id", "severity", "code", "cue", F.col("details")["en"].alias("en"))
 
 

@@ -39,6 +39,28 @@ def test_job_terms_override_occurrences(spark):
     assert missing(spark, source, ["终端", "终端", "航站楼"], glossary, job) == [(2, "Terminal"), (3, "terminal")]
 
 
+def test_a_shared_glossary_is_that_of_every_track(spark):
+    glossary = terms(spark, ("terminal", "终端", False, ["end station"], "approved", "project"), ("gate", "门", False))
+    decisions = terms(spark, ("Terminal", "航站楼", True, [], "approved", "job"), ("gate", "口", False, [], "approved", "job"))
+    source = cues(spark, "the terminal at Terminal two", "an end  station", "Gate, gate", "nothing", "")
+    translated = cues(spark, "航站楼", "x", "门", "y", "z")
+    found = [
+        sorted((r.track_id, r.cue, r.details["en"], r.details["target"]) for r in T.missing_terms(source, translated, g, decisions, shared).collect())
+        for g, shared in ((glossary, False), (glossary.withColumn("track_id", F.lit(None).cast("long")), True))
+    ]
+    assert found[0] == found[1] == [(0, 1, "terminal", "终端"), (0, 2, "terminal", "终端"), (0, 3, "gate", "口")]
+
+
+def test_hits_of_repeated_cues_and_tracks_apart(spark):
+    twice = cues(spark, "a term", "no word")
+    other = cues(spark, "a term").withColumn("track_id", F.lit(1).cast("long"))
+    found = T.hits(twice.union(twice).union(other), T.forms(terms(spark, ("term", "x"), ("Term", "y", False))))
+    assert sorted((r.track_id, r.cue, r.pos) for r in found.collect()) == [(0, 1, 0)] * 2 + [(0, 1, 1)] * 2
+    shared = T.hits(twice.union(other), T.forms(terms(spark, ("term", "x"))), shared=True)
+    assert sorted((r.track_id, r.cue) for r in shared.collect()) == [(0, 1), (1, 1)]
+    assert T.hits(twice.limit(0), T.forms(terms(spark, ("term", "x")))).count() == T.hits(twice, T.forms(terms(spark, ("term", "x")).limit(0))).count() == 0
+
+
 def test_shadowing_needs_all_forms(spark):
     glossary = terms(spark, ("alpha", "甲", False, ["beta"], "approved", "project"))
     half = terms(spark, ("alpha", "乙", False, [], "approved", "job"))
