@@ -41,6 +41,22 @@ def utf16_length(value: Column | str) -> Column:
     return F.length(_col(value)) + F.regexp_count(_col(value), F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+def strict_json(value: Column | str) -> Column:
+    """The variant of a JSON text; null unless the text is one value and nothing else.
+
+    Spark's parser stops behind the first value. So the text is read as the first of two elements whose second, its digest,
+    can't be part of it.
+    """
+
+    def first(text: Column) -> Column:
+        digest = F.sha2(text, 256)
+        both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]'))), "$", "array<variant>")
+        return F.get(F.transform(F.array(both), lambda b: F.when((F.size(b) == 2) & F.try_variant_get(F.get(b, F.lit(1)), "$", "string").eqNullSafe(digest), F.get(b, F.lit(0)))), F.lit(0))
+
+    # lambda variables, so that neither the text nor the parsed value is computed anew for each use
+    return F.get(F.transform(F.array(_col(value)), first), F.lit(0))
+
+
 #: Tags that mark up captions; any other angle bracket is speech.
 _TAGS = r"(?i)</?(?:i|b|u|s|font|lang|ruby|rt|v(?:" + WS + r"+[^>]*)?|c(?:\.[\w-]+)*)(?:" + WS + r"+[^>]*)?>"
 

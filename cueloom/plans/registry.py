@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cueloom.functions import text as X, timing
-from cueloom.operators import findings as FI, glossary as G, layers as L, review as R, segment as S, terms as T
+from cueloom.operators import ass_checks, findings as FI, glossary as G, jobs as J, layers as L, review as R, segment as S, terms as T
 from cueloom.plans import views as V
-from cueloom.sources import captions, writers
+from cueloom.sources import captions, records, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -583,3 +583,60 @@ def ass_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = V.cues(spark, sf_dir)
     made, _ = writers.ass_bodies(cues, cues)
     return made.select("track_id", F.regexp_count("body", F.lit("(?m)^Dialogue:")).cast("long").alias("events"), F.sha2(F.substring("body", len(writers.ass_header()) + 1, 2**30), 256).alias("digest"))
+
+
+@query("glossary_scan", """WITH p AS (SELECT p_partkey // 100 AS track_id, CAST(row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 1 AS INTEGER) AS pos, p_partkey, p_name FROM part)
+    SELECT track_id, pos, p_name AS en, lower(p_name) AS target, NULL AS code FROM p WHERE track_id % 5 <> 4 AND p_partkey % 7 <> 0
+    UNION ALL SELECT track_id, pos, NULL, NULL, 'case_not_boolean' FROM p WHERE track_id % 5 <> 4 AND p_partkey % 7 = 0
+    UNION ALL SELECT DISTINCT track_id, -1, NULL, NULL, CASE WHEN track_id % 5 = 4 THEN 'not_json' ELSE 'revision_unknown' END FROM p WHERE track_id % 5 = 4 OR track_id % 4 = 3""")
+def glossary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as glossary files of 100 terms; some with a tail behind the JSON, a negative revision, or a case rule that is text."""
+    entry = F.to_json(F.struct(F.col("p_name").alias("en"), F.lower("p_name").alias("zhHans")))
+    parts = V.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 100).cast("long").alias("track_id"), "p_partkey", entry.alias("entry"))
+    parts = parts.withColumn("entry", F.when(F.col("p_partkey") % 7 == 0, F.regexp_replace("entry", r"\}\z", ',"caseSensitive":"no"}')).otherwise(F.col("entry")))
+    listed = parts.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "entry"))), lambda x: x["entry"]), ",").alias("terms"))
+    revision = F.when(F.col("track_id") % 4 == 3, "-1").otherwise(F.col("track_id").cast("string"))
+    body = F.concat(F.lit('{"schemaVersion":1,"sourceLanguage":"en","targetLanguage":"zh-Hans","revision":'), revision, F.lit(',"terms":['), "terms", F.lit("]}"), F.when(F.col("track_id") % 5 == 4, " x").otherwise(""))
+    made = records.read_glossaries(listed.select("track_id", body.alias("body"), F.lit(None).cast("string").alias("code")))
+    none = F.lit(None).cast("string")
+    return made.terms.select("track_id", "pos", "en", "target", none.alias("code")).unionByName(made.rejects.select("track_id", "pos", none.alias("en"), none.alias("target"), "code"))
+
+
+@query("job_scan", """SELECT CAST(s_suppkey AS VARCHAR) AS job_id, CASE WHEN s_suppkey % 6 < 4 THEN s_name END AS source_path, CASE WHEN s_suppkey % 6 < 4 THEN s_suppkey % 2 = 0 END AS bilingual,
+    CASE WHEN s_suppkey % 6 < 4 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'pending' ELSE 'not-requested' END END AS ass, CASE s_suppkey % 6 WHEN 4 THEN 'id_differs' WHEN 5 THEN 'not_json' END AS code FROM supplier""")
+def job_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as jobs, written as JSON and read back; some files cut short, some in another job's folder."""
+    bilingual = F.col("s_suppkey") % 2 == 0
+    jobs = V.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("job_id"), F.col("s_name").alias("source_path"), F.struct(bilingual.alias("bilingual"), F.lit(False).alias("title"), F.lit(False).alias("description")).alias("options"),
+        J.pending(bilingual).alias("phases"), F.lit("then").alias("created_at"), F.lit("now").alias("updated_at"),
+    )
+    kind = F.col("track_id").cast("long") % 6
+    body = F.when(kind == 5, F.expr("substring(body, 1, length(body) - 1)")).when(kind == 4, F.regexp_replace("body", '"id":"', '"id":"x')).otherwise(F.col("body"))
+    made, rejects = records.read_jobs(records.job_bodies(jobs).select("track_id", body.alias("body"), F.lit(None).cast("string").alias("code")), "p")
+    shown = made.select("job_id", "source_path", F.col("options.bilingual").alias("bilingual"), F.col("phases")["ass"].alias("ass"), F.lit(None).cast("string").alias("code"))
+    return shown.unionByName(rejects.select(F.col("track_id").alias("job_id"), "code"), allowMissingColumns=True)
+
+
+@query("document_checks", """SELECT p_partkey AS track_id, 'title_invalid' AS code FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0
+    UNION ALL SELECT p_partkey, 'description_invalid' FROM part WHERE p_partkey % 2 = 1 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0""")
+def document_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and descriptions made of parts, some of them without a needed line or with one too many."""
+    parts, nth = V.table(spark, sf_dir, "part").withColumn("track_id", F.col("p_partkey")), lambda k: F.col("p_partkey") % k == 0
+    titles = parts.select("track_id", F.concat(F.lit("Original: "), "p_name", F.lit("\nChinese: "), F.when(nth(3), "").otherwise(F.col("p_type")), F.when(nth(5), "\nmore").otherwise("")).alias("body"))
+    address, creator, rest = F.when(nth(2), F.concat(F.lit("https://host/"), F.col("p_partkey").cast("string"))).otherwise(""), F.when(nth(3), " ").otherwise(F.col("p_brand")), F.when(nth(5), " ").otherwise(F.col("p_name"))
+    descriptions = parts.select("track_id", F.concat(F.lit("# heading\n\n来源："), address, F.lit("\n作者："), creator, F.lit("\n\n"), rest).alias("body"))
+    return ass_checks.title_issues(titles).unionByName(ass_checks.description_issues(descriptions)).select("track_id", "code")
+
+
+@query("record_issues", "WITH k AS (SELECT unnest(['candidates', 'decisions']) AS kind), r AS (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS track_id, kind FROM supplier, k)" + """
+    SELECT track_id, 'term_' || kind || '_job' AS code FROM r WHERE s_suppkey % 4 = 0
+    UNION ALL SELECT track_id, 'term_' || kind || '_timestamp' FROM r WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 = 0
+    UNION ALL SELECT track_id, CASE kind WHEN 'candidates' THEN 'term_extraction_incomplete' ELSE 'term_decisions_incomplete' END FROM r WHERE s_suppkey % 3 = 0""")
+def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of term records read from JSON: some of another job, unfinished, or finished at no time."""
+    key = F.col("s_suppkey")
+    fields = F.struct(F.lit(1).alias("schemaVersion"), F.when(key % 4 == 0, "other").otherwise(key.cast("string")).alias("job"), (key % 3 != 0).alias("completed"), F.when(key % 5 == 0, "soon").otherwise("2024-01-02T03:04:05Z").alias("updatedAt"), F.expr("cast(array() as array<string>)").alias("terms"))
+    bodies = V.table(spark, sf_dir, "supplier").select(key.cast("string").alias("track_id"), F.to_json(fields).alias("body"), F.lit(None).cast("string").alias("code"))
+    found = T.record_issues(records.read_candidates(bodies).headers, "candidates").unionByName(T.record_issues(records.read_decisions(bodies).headers, "decisions"))
+    return found.select("track_id", "code")

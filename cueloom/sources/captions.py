@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from cueloom.functions.text import WS, clean_lines, clean_text, rtrim, trim, utf16_length, without_bom
+from cueloom.functions.text import WS, clean_lines, clean_text, rtrim, strict_json, trim, utf16_length, without_bom
 from cueloom.functions.timing import IS_TIMELINE, LATEST_MS, centi_clock_ms, timeline
 from cueloom.operators.words import split_words
 
@@ -157,7 +157,7 @@ def read_ass(bodies: DataFrame) -> Scan:
 def read_json3(bodies: DataFrame, most_characters: int = 92, most_seconds: float = 7.5) -> Scan:
     """Caption events of a JSON body; long ones are split into several cues of timed words."""
     numeric = lambda v: F.schema_of_variant(v).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    events = F.try_variant_get(F.try_parse_json("body"), "$.events", "array<variant>")
+    events = F.try_variant_get(strict_json("body"), "$.events", "array<variant>")
     rows = bodies.select("track_id", F.posexplode(events).alias("at", "event"))
     rows = rows.withColumn("segs", F.try_variant_get("event", "$.segs", "array<variant>")).where("segs is not null")
     said = F.transform("segs", lambda s: F.try_variant_get(s, "$.utf8", "variant"))
