@@ -63,15 +63,17 @@ def hits(cues: DataFrame, listed: DataFrame, shared: bool = False) -> DataFrame:
     """Forms that occur in cues: the cue's track_id, cue, nfkc with the form's columns.
 
     An inverted index over the anchors of the distinct wordings finds candidates through equi-joins of keys alone; the texts
-    of cues that have any are fetched once, and the pattern verifies them. With ``shared`` the forms hold for every track;
-    else each form is looked for in its own track. Cues without a track or number are in no track and not searched.
+    of cues that have any are fetched once, and the pattern verifies them. With ``shared`` the forms hold for every track
+    (one glossary: 2,000 terms) and are broadcast; else each form is looked for in its own track. Cues without a track or
+    number are in no track and not searched.
     """
+    small = F.broadcast if shared else (lambda d: d)
     texts, wording = cues.select("track_id", "cue", "text"), ("norm", "fold", "exact_case")
     marks = F.transform(F.array_distinct(F.regexp_extract_all("folded", F.lit(r"[^\p{L}\p{N}\s]"), F.lit(0))), lambda c: F.concat(F.lit("\u0001"), c))
     probes = with_forms(texts).select("track_id", "cue", F.explode(F.concat(tokens(F.col("folded")), marks)).alias("probe"))
-    named = probes.join(anchored(listed.select(*wording).distinct(), *wording), F.col("probe") == F.col("anchor"))
+    named = probes.join(small(anchored(listed.select(*wording).distinct(), *wording)), F.col("probe") == F.col("anchor"))
     same = [F.col(c) == F.col(f"f_{c}") for c in (wording if shared else ("track_id", *wording))]
-    owned = named.join(listed.select(*[F.col(c).alias(f"f_{c}") for c in listed.columns]), same)
+    owned = named.join(small(listed.select(*[F.col(c).alias(f"f_{c}") for c in listed.columns])), same)
     form = F.struct(*[F.col(f"f_{c}").alias(c) for c in listed.columns if c != "track_id"])
     may = owned.groupBy("track_id", "cue").agg(F.collect_set(form).alias("may"))
     rows = with_forms(texts.join(may, ["track_id", "cue"])).select("track_id", "cue", "nfkc", "folded", F.explode("may").alias("f")).select("track_id", "cue", "nfkc", "folded", "f.*")
@@ -134,26 +136,57 @@ def _first_covering(wanted: DataFrame, by: DataFrame, *keep: str) -> DataFrame:
     return sizes.join(best, ["track_id", "pos"], "left")
 
 
-def candidate_issues(candidates: DataFrame, decisions: DataFrame, source: DataFrame) -> DataFrame:
-    """Candidates (with cues array<int>): cited cues exist and hold a form; one decision covers all forms and is settled."""
+def _packed(pos: str, cue: str) -> Column:
+    """Position and cue number in one long."""
+    return F.shiftleft(F.col(pos).cast("long"), 32) + F.col(cue)
+
+
+def candidate_issues(candidates: DataFrame, decisions: DataFrame, source: DataFrame, shared: bool = False) -> DataFrame:
+    """Candidates (with cues array<int>): cited cues exist and hold a form; one decision covers all forms and is settled.
+
+    With ``shared`` candidates and decisions hold for every track of ``source`` (their track_id doesn't matter): they are
+    judged once, and only what a track's cues decide is looked for in each track. A track's cited cues that exist, and those
+    that hold a form, are two arrays; citations meet them in one pass, without a shuffle of the citations.
+    """
+    if shared:
+        candidates, decisions = (d.withColumn("track_id", F.lit(0)) for d in (candidates, decisions))
     cited = candidates.select("track_id", "pos", "en", F.explode(F.array_sort(F.array_distinct(F.filter("cues", lambda c: c > 0)))).alias("cited"))
-    there = source.select(F.col("track_id").alias("s_track"), F.col("cue").alias("s_cue"))
-    located = cited.join(there, (F.col("track_id") == F.col("s_track")) & (F.col("cited") == F.col("s_cue")), "left")
-    proof = hits(source, forms(candidates)).select("track_id", "pos", F.col("cue").alias("cited")).distinct()
+    wanted = cited.select(*[F.col(c).alias(f"w_{c}") for c in ("track_id", "pos", "cited")])
+    same = (F.col("cue") == F.col("w_cited")) if shared else (F.col("cue") == F.col("w_cited")) & (F.col("track_id") == F.col("w_track_id"))
+    small = F.broadcast if shared else (lambda d: d)
+    named = source.where("track_id is not null").join(small(wanted.drop("w_pos").distinct()), same, "left_semi")
+    there = named.groupBy("track_id").agg(F.collect_set("cue").alias("there"))
+    proof = hits(named, forms(candidates), shared).select("track_id", "pos", "cue").join(small(wanted.distinct()), same & (F.col("pos") == F.col("w_pos")), "left_semi")
+    proof = proof.groupBy("track_id").agg(F.collect_set(_packed("pos", "cue")).alias("proof"))
+    if shared:
+        tracks = source.select("track_id").distinct()
+        spread = lambda d: tracks.crossJoin(F.broadcast(d.drop("track_id")))
+        rows = tracks.join(there, "track_id", "left").join(proof, "track_id", "left").crossJoin(F.broadcast(cited.drop("track_id")))
+    else:
+        spread, rows = (lambda d: d), cited.join(there, "track_id", "left").join(proof, "track_id", "left")
+    has = lambda array, value: F.coalesce(F.array_contains(array, value), F.lit(False))
     settled = _first_covering(candidates, decisions, "approval")
     return union(
-        finding(located.where("s_cue is null"), "terminology", "error", "term_candidate_range", seq=F.col("pos"), details={"en": F.col("en"), "cited": F.col("cited")}),
-        finding(located.where("s_cue is not null").join(proof, ["track_id", "pos", "cited"], "left_anti"), "terminology", "error", "term_candidate_evidence", F.col("cited"), F.col("pos"), {"en": F.col("en")}),
-        finding(settled.where("best is null"), "terminology", "error", "candidate_without_decision", seq=F.lit(3000) + F.col("pos"), details={"en": F.col("en")}),
-        finding(settled.where("best.b_approval = 'review-required'"), "terminology", "error", "term_unresolved", seq=F.lit(3000) + F.col("pos"), details={"en": F.col("en")}),
+        finding(rows.where(~has(F.col("there"), F.col("cited"))), "terminology", "error", "term_candidate_range", seq=F.col("pos"), details={"en": F.col("en"), "cited": F.col("cited")}),
+        finding(rows.where(has(F.col("there"), F.col("cited")) & ~has(F.col("proof"), _packed("pos", "cited"))), "terminology", "error", "term_candidate_evidence", F.col("cited"), F.col("pos"), {"en": F.col("en")}),
+        finding(spread(settled.where("best is null")), "terminology", "error", "candidate_without_decision", seq=F.lit(3000) + F.col("pos"), details={"en": F.col("en")}),
+        finding(spread(settled.where("best.b_approval = 'review-required'")), "terminology", "error", "term_unresolved", seq=F.lit(3000) + F.col("pos"), details={"en": F.col("en")}),
     )
 
 
-def application_issues(decisions: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Approved project decisions that no glossary term with the same target covers."""
+def application_issues(decisions: DataFrame, glossary: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
+    """Approved project decisions that no glossary term with the same target covers.
+
+    With ``tracks`` (track_id) both tables hold for every one of these (their track_id doesn't matter): they are judged once
+    and each track gets the findings.
+    """
+    if tracks is not None:
+        decisions, glossary = (d.withColumn("track_id", F.lit(0)) for d in (decisions, glossary))
     approved = decisions.where("approval = 'approved' and scope = 'project'")
     found = _first_covering(approved, glossary, "target").join(approved.select("track_id", "pos", "target"), ["track_id", "pos"])
     stale = found.where(F.col("best").isNull() | ~F.col("best.b_target").eqNullSafe(F.col("target")))
+    if tracks is not None:
+        stale = tracks.select("track_id").distinct().crossJoin(F.broadcast(stale.drop("track_id")))
     return finding(stale, "terminology", "error", "project_term_not_applied", seq=F.lit(6000) + F.col("pos"), details={"en": F.col("en")})
 
 

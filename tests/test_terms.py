@@ -192,3 +192,20 @@ def test_history_is_kept(spark, terms_):
     rows = spark.createDataFrame([(0, bool(terms_), "t", ["x"] * terms_, "old")], "track_id long, completed boolean, updated_at string, terms array<string>, previous string")
     got = J.with_history(rows, "changed").first()
     assert got.terms == [] and not got.completed and (("changed" in got.previous) == bool(terms_))
+
+
+def test_tables_that_all_tracks_share_are_judged_once(spark):
+    one = lambda d: d.withColumn("track_id", F.lit(7).cast("long"))
+    raw_ = spark.createDataFrame([(0, "Term", None, None, [1, 2, 2, 999]), (1, "other", ["more"], None, [1, 0]), (2, "late", None, None, None)], "pos int, en string, aliases array<string>, case_sensitive boolean, cues array<int>")
+    listed = terms(spark, ("Term", "x", True, [], "review-required", "job"), ("other", "y", False, ["more"], "approved", "project"), ("late", "z", False, [], "approved", "project"))
+    source = cues(spark, "a Term here", "more of it").unionByName(cues(spark, "other", "Term").withColumn("track_id", F.lit(3).cast("long")))
+    source = source.unionByName(cues(spark, "late").withColumns({"track_id": F.lit(4).cast("long"), "cue": F.lit(50)}))
+    tracks = source.select("track_id").distinct()
+    each = lambda d: tracks.crossJoin(d.drop("track_id"))
+    rows = lambda d: sorted(str((r.track_id, r.check_order, r.seq, r.severity, r.code, r.cue, r.details)) for r in d.collect())
+    shared = T.candidate_issues(one(raw_), one(listed), source, shared=True)
+    assert rows(shared) == rows(T.candidate_issues(each(raw_), each(listed), source))
+    assert (3, "term_candidate_evidence", 1) in [(r.track_id, r.code, r.cue) for r in shared.collect()] and (4, "term_candidate_range", None) in [(r.track_id, r.code, r.cue) for r in shared.collect()]
+    glossary = listed.withColumn("target", F.when(F.col("pos") == 1, "w").otherwise(F.col("target")))
+    stale = T.application_issues(one(listed), one(glossary), source)
+    assert rows(stale) == rows(T.application_issues(each(listed), each(glossary))) and sorted((r.track_id, r.details["en"]) for r in stale.collect()) == [(0, "other"), (3, "other"), (4, "other")]
