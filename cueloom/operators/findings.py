@@ -18,18 +18,27 @@ ORDER = {
 }
 
 
-def finding(rows: DataFrame, check: str, severity: str, code: Column | str, cue: Column | None = None, seq: Column | None = None, details: dict[str, Column] | None = None) -> DataFrame:
-    """Rows with a track_id as findings; without a cue they concern the whole track. seq orders those of one cue."""
+def _fields(check: str, severity: str, code: Column | str, cue: Column | None = None, seq: Column | None = None, details: dict[str, Column] | None = None) -> list[Column]:
     pairs = [x for k, v in (details or {}).items() for x in (F.lit(k), v.cast("string"))]
-    return rows.select(
-        "track_id",
+    return [
         F.lit(ORDER[check]).alias("check_order"),
         (seq if seq is not None else F.lit(0)).cast("int").alias("seq"),
         F.lit(severity).alias("severity"),
         (F.lit(code) if isinstance(code, str) else code).alias("code"),
         (cue if cue is not None else F.lit(None)).cast("int").alias("cue"),
         (F.create_map(*pairs) if pairs else F.lit(None)).cast("map<string,string>").alias("details"),
-    )
+    ]
+
+
+def finding(rows: DataFrame, check: str, severity: str, code: Column | str, cue: Column | None = None, seq: Column | None = None, details: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with a track_id as findings; without a cue they concern the whole track. seq orders those of one cue."""
+    return rows.select("track_id", *_fields(check, severity, code, cue, seq, details))
+
+
+def several(rows: DataFrame, *kinds: tuple) -> DataFrame:
+    """Findings of several kinds in one pass: each is (times, check, severity, code, cue, seq), times how often a row has it."""
+    made = [F.array_repeat(F.struct(*_fields(*kind[1:])), F.coalesce(kind[0].cast("int"), F.lit(0))) for kind in kinds]
+    return rows.select("track_id", F.explode(F.concat(*made)).alias("f")).select("track_id", "f.*")
 
 
 def union(*parts: DataFrame) -> DataFrame:
