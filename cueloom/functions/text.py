@@ -7,6 +7,7 @@ and lengths are UTF-16 units. Unicode normalisation has no SQL function, so one
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
@@ -61,9 +62,23 @@ def strict_json(value: Column | str) -> Column:
 _TAGS = r"(?i)</?(?:i|b|u|s|font|lang|ruby|rt|v(?:" + WS + r"+[^>]*)?|c(?:\.[\w-]+)*)(?:" + WS + r"+[^>]*)?>"
 
 
+#: What cleaning might change: anything but single blanks between characters that it never touches.
+_UNCLEAN = r"[^\x{20}-\x{3B}\x{3D}-\x{7E}\x{A1}-\x{2FF}\x{3001}-\x{303F}\x{4E00}-\x{9FFF}\x{FF01}-\x{FF60}]|^ | \z|  "
+
+
+def _unless_clean(value: Column | str, clean: Callable[[Column], Column]) -> Column:
+    """``clean`` of a text, by one pattern only for texts that it leaves as they are; null counts as empty."""
+    text = F.coalesce(_col(value), F.lit(""))
+    return F.when(F.regexp_like(text, F.lit(_UNCLEAN)), clean(text)).otherwise(text)
+
+
 def clean_lines(value: Column | str) -> Column:
     """Caption text without markup, its line breaks kept; null counts as empty."""
-    text = without_bom(F.coalesce(_col(value), F.lit("")))
+    return _unless_clean(value, _clean_lines)
+
+
+def _clean_lines(text: Column) -> Column:
+    text = without_bom(text)
     text = F.translate(text, " ⁠", "  ")
     text = F.regexp_replace(text, rf"(?i)<br{WS}*/?>", "\n")
     text = F.regexp_replace(text, _TAGS, "")
@@ -74,7 +89,7 @@ def clean_lines(value: Column | str) -> Column:
 
 def clean_text(value: Column | str) -> Column:
     """Caption text on one line."""
-    return squeeze(clean_lines(value))
+    return _unless_clean(value, lambda text: squeeze(_clean_lines(text)))
 
 
 def comparison_key(value: Column | str) -> Column:

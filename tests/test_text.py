@@ -78,3 +78,11 @@ def test_slugs(spark):
     assert one(spark, "Hello, World!", X.slug) == "hello-world"
     assert one(spark, "CON", X.slug) == "con-job" and one(spark, "??", X.slug) == "track"
     assert one(spark, "C++", X.term_slug) == "c" and one(spark, "中", X.term_slug) == "term"
+
+
+def test_texts_that_need_no_cleaning_are_kept_and_all_others_cleaned(spark):
+    marks = [chr(c) for c in (*range(1, 0x400), *range(0x1680, 0x1690), *range(0x2000, 0x2070), *range(0x3000, 0x3040), 0xFEFF, 0xFF01, 0xFF5E, 0x1F600)]
+    texts = [shape.replace("#", c) for c in marks for shape in ("a#b", "#a", "a#", "a# b", "##")] + ["", "a b", " a", "a ", "a  b", "<i>a</i>", "a<b", "a\n\nb", "<00:01.500>x", "a<br>b", "\ufeffa", "é", "甲，乙"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    whole = X._clean_lines(F.coalesce("text", F.lit("")))
+    assert rows.where(~X.clean_lines("text").eqNullSafe(whole) | ~X.clean_text("text").eqNullSafe(X.squeeze(whole))).count() == 0
